@@ -8,20 +8,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from specloom.llm.common import table
+from specloom.llm.licences import licence_scan
 from specloom.llm.packing import harmonic_pack
+from specloom.llm.quality import importance_resampling
 from specloom.llm.token_counts import token_counts
+from specloom.llm.toxicity import toxicity_scores, train
+
+
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_harmonic_packing, op9_transducer_token_counts)
+    f.__name__: f
+    for f in (
+        op1_importance_resampling,
+        op2_harmonic_packing,
+        op4_licence_scan,
+        op5_toxicity,
+        op9_transducer_token_counts,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
