@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from specloom.llm.common import table
 from specloom.llm.licences import licence_scan
+from specloom.llm.near import jaccard_join
 from specloom.llm.packing import harmonic_pack
 from specloom.llm.quality import importance_resampling
 from specloom.llm.token_counts import token_counts
@@ -36,6 +37,10 @@ def op9_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_licence_scan,
         op5_toxicity,
         op9_transducer_token_counts,
+        op10_parity_sketch_join,
     )
 }
 
