@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from specloom.llm.common import table
+from specloom.llm.leaks import benchmark_leaks
 from specloom.llm.licences import licence_scan
 from specloom.llm.near import jaccard_join
 from specloom.llm.packing import harmonic_pack
@@ -33,6 +34,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_simhash_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_harmonic_packing,
         op4_licence_scan,
         op5_toxicity,
+        op8_simhash_benchmark_leaks,
         op9_transducer_token_counts,
         op10_parity_sketch_join,
     )
