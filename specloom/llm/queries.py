@@ -13,6 +13,7 @@ from specloom.llm.licences import licence_scan
 from specloom.llm.near import jaccard_join
 from specloom.llm.packing import harmonic_pack
 from specloom.llm.quality import importance_resampling
+from specloom.llm.rules import divergence_rules
 from specloom.llm.token_counts import token_counts
 from specloom.llm.toxicity import toxicity_scores, train
 
@@ -34,6 +35,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_rules(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_harmonic_packing,
         op4_licence_scan,
         op5_toxicity,
+        op7_divergence_rules,
         op8_simhash_benchmark_leaks,
         op9_transducer_token_counts,
         op10_parity_sketch_join,
