@@ -63,11 +63,8 @@ def layouts(n: int) -> list[tuple[int, int, int]]:
     return [(k, max(12, 2 * k + 3), first) for k, first in found]
 
 
-def block_keys(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each sketch of a set, the names of the blocks that are joined and how common each is. common: sorted hashes, counts: theirs."""
-    at = np.searchsorted(common, shingles)
-    at[at == len(common)] = 0
-    often = np.where(common[at] == shingles, counts[at], 0) if len(common) else np.zeros(len(shingles), np.int64)
+def block_keys(shingles: np.ndarray, often: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each sketch of a set, the names of the blocks that are joined and how common each is. often: how common the shingles are."""
     spread = mix(shingles ^ np.uint64(0x5851F42D4C957F2D))
     for band, bits, first in layouts(len(shingles)):
         number = shingles >> np.uint64(64 - bits)
@@ -75,14 +72,15 @@ def block_keys(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) ->
         keys = mix(np.bitwise_xor.reduceat(spread, starts) ^ (number[starts] * _BLOCK + np.uint64(band)))
         rarest = np.minimum.reduceat(often, starts)
         if len(keys) > first:
-            order = np.lexsort((keys, rarest))[:first]
-            keys, rarest = keys[order], rarest[order]
+            order = (np.minimum(rarest, (1 << 20) - 1).astype(np.uint64) << np.uint64(44)) | (keys >> np.uint64(20))
+            chosen = order <= np.partition(order, first - 1)[first - 1]
+            keys, rarest = keys[chosen], rarest[chosen]
         yield keys, rarest
 
 
 def _sets_and_common(docs: DataFrame, keep: str) -> DataFrame:
-    """Rows (0, row id, shingles, node) of all texts and (1, null, texts, shingle) of shingles that several texts share."""
-    names = ["kind", "doc_id", "n", "node"]
+    """Rows (0, doc_id, shingles, node, sketch) of all texts and (1, null, texts, shingle, null) of shingles that several texts share."""
+    names = ["kind", "doc_id", "n", "node", "sketch"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool: list[np.ndarray] = []
@@ -92,28 +90,29 @@ def _sets_and_common(docs: DataFrame, keep: str) -> DataFrame:
             found, n = np.unique(np.concatenate([*pool, np.empty(0, np.uint64)]), return_counts=True)
             found, n = found[n > 1], n[n > 1]
             size = len(found)
-            columns = [pa.array(np.ones(size, np.int32)), pa.nulls(size, pa.int64()), pa.array(n.astype(np.int64)), pa.array(found.view(np.int64))]
+            columns = [pa.array(np.ones(size, np.int32)), pa.nulls(size, pa.int64()), pa.array(n.astype(np.int64)), pa.array(found.view(np.int64)), pa.nulls(size, pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, sketches = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text)
                 node = node_of(s)
                 sizes.append(len(s))
                 nodes.append(node)
+                sketches.append(parity_sketch(s))
                 if node not in known:
                     known.add(node)
                     pool.append(s)
                     pooled += len(s)
-            columns = [pa.array(np.zeros(len(nodes), np.int32)), batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())]
+            columns = [pa.array(np.zeros(len(nodes), np.int32)), batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
             if pooled > COUNTED:
                 yield shared()
                 pool, pooled, known = [], 0, set()
         yield shared()
 
-    return cut(doc_text(docs).mapInArrow(measure, "kind int, doc_id long, n long, node long"), keep)
+    return cut(doc_text(docs).mapInArrow(measure, "kind int, doc_id long, n long, node long, sketch binary"), keep)
 
 
 def _blocks(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -122,6 +121,9 @@ def _blocks(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFram
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
+        low = np.uint64((1 << 20) - 1)
+        maybe = np.zeros(1 << 20, bool)
+        maybe[common & low] = True
         for batch in batches:
             keys, salts, orders, nodes = [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -129,9 +131,14 @@ def _blocks(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFram
                 if not len(s) or (node := node_of(s)) in known:
                     continue
                 known.add(node)
-                rare = len(s) - int(np.isin(s, common, assume_unique=True, kind="sort").sum()) if len(common) else len(s)
-                for k, often in block_keys(s, common, counts):
-                    parts = often // SALTED
+                often = np.zeros(len(s), np.int64)
+                if len(common):
+                    at = np.flatnonzero(maybe[s & low])
+                    place = np.minimum(np.searchsorted(common, s[at]), len(common) - 1)
+                    often[at] = np.where(common[place] == s[at], counts[place], 0)
+                rare = len(s) - np.count_nonzero(often)
+                for k, found in block_keys(s, often):
+                    parts = found // SALTED
                     keys.append(k.view(np.int64))
                     salts.append(np.where(parts > 0, node % (1 + parts), -1).astype(np.int32))
                     orders.append(np.full(len(k), rare << 32 | len(s), np.int64))
@@ -144,48 +151,48 @@ def _blocks(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFram
 
 
 def _lead(rows: DataFrame, *by: str) -> DataFrame:
-    """`rows` with the leader of each group, its first by order and node, and whether it is the first row itself."""
+    """`rows` with the leader of each group, its first by order and node; head: whether it is the first row; pair: whether it
+    is the last of two."""
     group = Window.partitionBy(*by).orderBy("order", "node")
     return rows.withColumns(
         {
             "leader": F.first("node").over(group),
             "leader_order": F.first("order").over(group),
             "head": F.lag("node").over(group).isNull(),
+            "pair": F.lag("node", 2).over(group).isNull() & F.lead("node").over(group).isNull(),
         }
     )
 
 
 def _groups(blocks: DataFrame) -> DataFrame:
-    """(key, node, order, leader, leader_order): the members, but for the leader, of each block that several sets share.
+    """(key, node, order, leader, leader_order, pair): the members, but for the leader, of each block that several sets share.
 
     The parts of a block with many members have a leader each, and those are the members of one more group.
     """
     led = cut(_lead(blocks, "key", "salt").filter("leader <> node OR (head AND salt >= 0)"), "led")
-    columns = ["key", "node", "order", "leader", "leader_order"]
+    # A salted block's parts are one group to the pairs that are still open in the end.
+    members = led.filter("leader <> node").withColumn("pair", F.col("pair") & (F.col("salt") < 0))
     heads = led.filter("head AND salt >= 0").select("key", "order", "node")
-    return led.filter("leader <> node").select(columns).union(_lead(heads, "key").filter("leader <> node").select(columns))
+    more = _lead(heads, "key").filter("leader <> node").withColumn("pair", F.lit(False))
+    columns = ["key", "node", "order", "leader", "leader_order", "pair"]
+    return members.select(columns).union(more.select(columns))
 
 
-def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, sketch and shingles of the sets named in `nodes`. The sketch has at least two bits for each shingle."""
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and shingles of the sets named in `wanted` (node, rep), rep being the id of a row that has the set."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[int] = set()
         for batch in batches:
-            found = []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text)
-                if len(s) and (node := node_of(s)) not in known:
-                    known.add(node)
-                    found.append((node, parity_sketch(s), s.view(np.int64)))
-            shingles = pa.array([x for *_, x in found], pa.list_(pa.int64()))
-            columns = [pa.array([x for x, *_ in found], pa.int64()), pa.array([x for _, x, _ in found], pa.binary()), shingles]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "sketch", "shingles"])
+            found = [shingle_set(text) for text in batch.column("text").to_pylist()]
+            columns = [pa.array([node_of(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "shingles"])
 
-    rows = docs.mapInArrow(features, "node long, sketch binary, shingles array<long>")
-    few = nodes.count() <= BROADCAST_NODES
-    rows = rows.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
-    return cut(rows.dropDuplicates(["node"]), "sets")
+    few = wanted.count() <= BROADCAST_NODES
+    small = F.broadcast if few else lambda x: x
+    ids = wanted.select("rep").distinct()
+    texts = doc_text(docs).join(small(ids), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+    rows = texts.mapInArrow(features, "node long, shingles array<long>")
+    return cut(rows.join(small(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
 def parity_sketch(shingles: np.ndarray) -> bytes:
@@ -200,24 +207,30 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of `pairs` (a, b) that link: first by the bound that the sketches give, then by the exact sizes."""
+def _close(pairs: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
+    """Those of `pairs` (a, b) that the sketches in `brief` (node, n, sketch) don't rule out, with the sketches' distance."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, nb, sa, sb = (batch.column(k).to_pylist() for k in range(6))
-            kept = [(100 + percent) * sketch_distance(x, y) <= (100 - percent) * (n + m) for x, y, n, m in zip(sa, sb, na, nb, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            sa, sb = (batch.column(c).to_pylist() for c in ("sa", "sb"))
+            distance = np.array([sketch_distance(x, y) for x, y in zip(sa, sb, strict=True)], np.int64)
+            kept = pa.array((100 + percent) * distance <= (100 - percent) * (na + nb))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(distance)], ["a", "b", "distance"]).filter(kept)
 
-    brief = sets.select("node", F.size("shingles").alias("n"), "sketch")
     a, b = (brief.toDF(x, f"n{x}", f"s{x}") for x in "ab")
-    close = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb")
-    close = cut(close.mapInArrow(near, "a long, b long"), "close")
-    whole = sets.select("node", "shingles")
-    a, b = (whole.toDF(x, f"w{x}") for x in "ab")
+    sized = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb")
+    return sized.mapInArrow(near, "a long, b long, distance long")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Those of the close `pairs` (a, b) whose sets have the similarity."""
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = _sets(docs, cut(named.join(reps, "node"), "wanted"))
+    a, b = (sets.toDF(x, f"w{x}") for x in "ab")
     common = F.size(F.array_intersect("wa", "wb"))
-    union = F.size("wa") + F.size("wb") - common
-    return close.join(a, "a").join(b, "b").filter(100 * common >= percent * union).select("a", "b")
+    either = F.size("wa") + F.size("wb") - common
+    return cut(pairs.join(a, "a").join(b, "b").filter(100 * common >= percent * either).select("a", "b"), "links")
 
 
 def jaccard_join(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -241,38 +254,41 @@ def jaccard_join(docs: DataFrame, percent: int = 75) -> DataFrame:
     order = np.argsort(common)
     common, counts = common[order], np.array([r["n"] for r in often], np.int64)[order]
 
-    texts = doc_text(docs).select("text")
-    groups = cut(_groups(_blocks(texts, common, counts)), "groups")
-    members = groups.select("key", "node", "order").union(groups.select("key", F.col("leader"), F.col("leader_order"))).distinct()
-    sets = _sets(texts, groups.select("node").union(groups.select("leader")).distinct())
+    groups = _groups(_blocks(doc_text(docs).select("text"), common, counts))
+    texts = rows.filter("kind = 0 AND n > 0")
+    brief = texts.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    reps = texts.groupBy("node").agg(F.min("doc_id").alias("rep"))
 
+    # Members against leaders: each member's closest leader first, which leaves most others in one component.
     size, leader_size = (F.col(c).bitwiseAND(0xFFFFFFFF) for c in ("order", "leader_order"))
-    first = (
-        groups.filter((4 * size >= 3 * leader_size) & (4 * leader_size >= 3 * size)).groupBy("node", "leader").count()
-        .groupBy(F.col("node").alias("a")).agg(F.max_by("leader", F.struct("count", "leader")).alias("b"))
-    )
-    first = cut(first, "first")
-    links = cut(_verified(first, sets, percent), "links")
+    edges = groups.filter((4 * size >= 3 * leader_size) & (4 * leader_size >= 3 * size)).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    close = cut(_close(edges.distinct(), brief, percent), "close")
+    first = cut(close.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b")), "first")
+    links = _linked(first, docs, reps, percent)
     labels = connected_components(links)
 
-    # Pairs of one block that the links so far leave in different components.
-    placed = cut(
-        members.join(labels, "node", "left")
-        .select("key", "node", F.col("order").bitwiseAND(0xFFFFFFFF).alias("size"), F.coalesce("component", "node").alias("component")),
-        "members",
-    )
-    apart = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    open_ = placed.join(apart, "key")
-    a = open_.select("key", *(F.col(c).alias(f"a_{c}") for c in ("node", "size", "component")))
-    b = open_.select("key", *(F.col(c).alias(f"b_{c}") for c in ("node", "size", "component")))
-    pairs = (
-        a.join(b, "key").filter("a_component < b_component AND 4 * a_size >= 3 * b_size AND 4 * b_size >= 3 * a_size")
-        .select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
-    )
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(_verified(pairs.join(tested, ["a", "b"], "left_anti"), sets, percent), "links")
+    # Pairs that are left in different components: other leaders, and members of one block with each other.
+    few = labels.count() <= BROADCAST_NODES
+
+    def placed(frame: DataFrame, node: str) -> DataFrame:
+        of = labels.toDF(node, f"{node}_component")
+        frame = frame.join(F.broadcast(of) if few else of, node, "left")
+        return frame.withColumn(f"{node}_component", F.coalesce(f"{node}_component", node))
+
+    others = placed(placed(close.join(first, ["a", "b"], "left_anti"), "a"), "b").filter("a_component <> b_component").select("a", "b")
+    many = placed(placed(groups.filter("NOT pair"), "node"), "leader")
+    apart = many.filter("node_component <> leader_component").select("key").distinct()
+    open_ = many.join(apart, "key", "left_semi")
+    members = open_.select("key", "node", size.alias("size"), F.col("node_component").alias("component"))
+    members = cut(members.union(open_.select("key", "leader", leader_size, "leader_component")).distinct(), "members")
+    a = members.toDF("key", "a", "a_size", "a_component")
+    b = members.toDF("key", "b", "b_size", "b_component")
+    inner = a.join(b, "key").filter("a_component < b_component AND 4 * a_size >= 3 * b_size AND 4 * b_size >= 3 * a_size").select("a", "b")
+    more = cut(_close(inner.distinct(), brief, percent).select("a", "b").union(others), "close")
     if not more.isEmpty():
-        labels = connected_components(links.select("a", "b").union(more.select("a", "b")))
+        extra = _linked(more, docs, reps, percent)
+        if not extra.isEmpty():
+            labels = connected_components(links.union(extra))
 
     of = (
         rows.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left")
