@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from specloom.llm.common import table
+from specloom.llm.html import page_texts
 from specloom.llm.leaks import benchmark_leaks
 from specloom.llm.licences import licence_scan
 from specloom.llm.near import jaccard_join
@@ -26,6 +27,10 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_importance_resampling,
         op2_harmonic_packing,
+        op3_site_style_tree,
         op4_licence_scan,
         op5_toxicity,
         op7_divergence_rules,
