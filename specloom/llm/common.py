@@ -42,6 +42,19 @@ def lower_ascii(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python 8 MB at a time: a batch is held several times over, in the JVM and in Python, by each task.
+
+    A session that has set the size itself keeps it.
+    """
+    if spark.conf.get(BATCH) in ("67108864b", "64m", "64MB", "67108864"):
+        spark.conf.set(BATCH, "8m")
+
+
 def doc_text(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text of `docs` (null text: empty), with the columns named in `more`; other columns are left behind."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

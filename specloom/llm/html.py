@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import cut
+from specloom.llm.common import cut, small_batches
 
 SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks long, n_removed long"
 #: Distinct pages of a host from which a node's importance is told, and the importance below which a branch goes.
@@ -253,6 +253,7 @@ def page_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, min_importance:
     read as browsers do in outline: unclosed elements end with what holds them. Memory: a batch of pages, and the names of a
     task's pages.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     low = importances(style_features(rows)).filter((F.col("pages") >= least_pages) & F.col("has_text") & (F.col("importance") < min_importance))
     low = cut(low.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low")), "low")  # as many as a site has styles

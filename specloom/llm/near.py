@@ -8,9 +8,9 @@ rarest shingle is; of a linked pair, the first d + 1 blocks of either that aren'
 principle. Only those are joined, so a passage that many texts share is looked at only in texts that are little else.
 
 Blocks that several sets share make a group. Its members are compared with the group's leader first, the member with the
-fewest rare shingles, and the verified links give components; within a group only pairs of different components are still
-open, and all of those are verified as well. So no group of copies is ever expanded into its pairs, and no link that
-joins components is lost.
+least of its own, and the verified links give components; within a group only pairs of different components are still
+open. Those are compared by their sketches, part by part of a group, and verified where the bound allows a link. So no group
+of copies is ever expanded into rows of pairs, and no link that joins components is lost.
 """
 
 from __future__ import annotations
@@ -27,12 +27,16 @@ from specloom.llm.components import connected_components
 from specloom.llm.hashing import SPACES, mix, shingle_hashes, token_hashes
 
 WIDTH = 5
-#: Shingles of a part of a task's rows that are counted together.
-COUNTED = 1 << 22
-#: A shingle found in so many texts of the counted parts is common; the most common ones are told to all tasks.
-COMMON, MOST_COMMON = 32, 1 << 17
+#: Shingles of a task's sets that are packed at once; bits of a hash that are counted, enough to tell common from rare.
+COUNTED, RESOLUTION = 1 << 20, 40
+#: Values that a task gathers before it hands them on.
+HANDED = 1 << 18
+#: A shingle found in so many sets is common; the most common ones, about 8 MB, are told to all tasks.
+COMMON, MOST_COMMON = 6, 1 << 19
 #: Members of a common block that a task gets, about; what lies above it is dealt to several tasks.
 SALTED = 2048
+#: Members of a group that a task compares with as many others.
+PART = 512
 #: Sets of so many texts are picked by a broadcast; more by a shuffled join.
 BROADCAST_NODES = 1_000_000
 _BLOCK = np.uint64(0xD6E8FEB86659FD93)
@@ -78,25 +82,42 @@ def block_keys(shingles: np.ndarray, often: np.ndarray) -> Iterator[tuple[np.nda
         yield keys, rarest
 
 
-def _sets_and_common(docs: DataFrame, keep: str) -> DataFrame:
-    """Rows (0, doc_id, shingles, node, sketch) of all texts and (1, null, texts, shingle, null) of shingles that several texts share."""
+def pack_hashes(parts: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
+    """The first RESOLUTION bits of hashes, repeats included, as compressed differences: a range, of 2^bits, and its blob."""
+    import zstandard
+
+    values = np.sort(np.concatenate([*parts, np.empty(0, np.uint64)]) >> np.uint64(64 - RESOLUTION))
+    edges = np.searchsorted(values, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(RESOLUTION - bits))
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for r in np.flatnonzero(edges[1:] > edges[:-1]):
+        yield int(r), squeeze(np.diff(values[edges[r] : edges[r + 1]], prepend=np.uint64(0)).astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack_hashes(blob: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel())
+
+
+def _measured(docs: DataFrame, bits: int) -> DataFrame:
+    """Rows (0, doc_id, shingles, node, sketch) of all texts and (1, null, range, null, blob) of the hashes of a task's sets."""
     names = ["kind", "doc_id", "n", "node", "sketch"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool: list[np.ndarray] = []
         pooled, known = 0, set()
 
-        def shared() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate([*pool, np.empty(0, np.uint64)]), return_counts=True)
-            found, n = found[n > 1], n[n > 1]
+        def packed() -> pa.RecordBatch:
+            found = list(pack_hashes(pool, bits))
             size = len(found)
-            columns = [pa.array(np.ones(size, np.int32)), pa.nulls(size, pa.int64()), pa.array(n.astype(np.int64)), pa.array(found.view(np.int64)), pa.nulls(size, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names)
+            columns = [pa.array(np.ones(size, np.int32)), pa.nulls(size, pa.int64()), pa.array([r for r, _ in found], pa.int64())]
+            return pa.RecordBatch.from_arrays([*columns, pa.nulls(size, pa.int64()), pa.array([b for _, b in found], pa.binary())], names)
 
         for batch in batches:
             sizes, nodes, sketches = [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text)
+            for text in batch.column("text"):
+                s = shingle_set(text.as_py())
                 node = node_of(s)
                 sizes.append(len(s))
                 nodes.append(node)
@@ -105,47 +126,76 @@ def _sets_and_common(docs: DataFrame, keep: str) -> DataFrame:
                     known.add(node)
                     pool.append(s)
                     pooled += len(s)
+                if pooled > COUNTED:
+                    yield packed()
+                    pool.clear()
+                    pooled = 0
             columns = [pa.array(np.zeros(len(nodes), np.int32)), batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
-            if pooled > COUNTED:
-                yield shared()
-                pool, pooled, known = [], 0, set()
-        yield shared()
+        yield packed()
+
+    return cut(doc_text(docs).mapInArrow(measure, "kind int, doc_id long, n long, node long, sketch binary"), "measured")
+
+
+def _common(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The MOST_COMMON hashes (their first bits) that COMMON sets or more have, sorted, and in how many sets they are."""
+
+    def count(group: pa.Table) -> pa.Table:
+        values, n = np.unique(np.concatenate([unpack_hashes(b) for b in group.column("sketch").to_pylist()]), return_counts=True)
+        often = n >= COMMON
+        return pa.table({"hash": pa.array(values[often].astype(np.int64)), "n": pa.array(n[often].astype(np.int64))})
 
-    return cut(doc_text(docs).mapInArrow(measure, "kind int, doc_id long, n long, node long, sketch binary"), keep)
+    blobs = measured.filter("kind = 1").select("n", "sketch")
+    counts = blobs.groupBy("n").applyInArrow(count, "hash long, n long")
+    found = counts.orderBy(F.desc("n"), "hash").limit(MOST_COMMON).toArrow()
+    hashes, n = found.column("hash").to_numpy().astype(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
 
 
 def _blocks(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(key, salt, order, node): the joined blocks of each set, once a task. order: shingles that aren't common << 32 | shingles;
-    salt: -1, or of a block with many members the part of them that the set is in."""
+    """(key, salt, order, node): the joined blocks of each set, once a task. order: own << 32 | shingles, own being the sum of
+    1000 / sets over the shingles, so that the text that others are copies of comes before them; salt: -1, or of a block with many members the part of them that the set is in."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        low = np.uint64((1 << 20) - 1)
-        maybe = np.zeros(1 << 20, bool)
+        low = np.uint64((1 << 22) - 1)
+        maybe = np.zeros(1 << 22, bool)
         maybe[common & low] = True
+        keys, salts, orders, nodes = [], [], [], []
+
+        def handed() -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate(x)) for x in (keys, salts, orders, nodes)]
+            for x in (keys, salts, orders, nodes):
+                x.clear()
+            return pa.RecordBatch.from_arrays(columns, ["key", "salt", "order", "node"])
+
         for batch in batches:
-            keys, salts, orders, nodes = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text)
+            gathered = 0
+            for text in batch.column("text"):
+                s = shingle_set(text.as_py())
                 if not len(s) or (node := node_of(s)) in known:
                     continue
                 known.add(node)
                 often = np.zeros(len(s), np.int64)
                 if len(common):
-                    at = np.flatnonzero(maybe[s & low])
-                    place = np.minimum(np.searchsorted(common, s[at]), len(common) - 1)
-                    often[at] = np.where(common[place] == s[at], counts[place], 0)
-                rare = len(s) - np.count_nonzero(often)
+                    brief = s >> np.uint64(64 - RESOLUTION)
+                    at = np.flatnonzero(maybe[brief & low])
+                    place = np.minimum(np.searchsorted(common, brief[at]), len(common) - 1)
+                    often[at] = np.where(common[place] == brief[at], counts[place], 0)
+                own = int(1000 * (1 / np.maximum(often, 1)).sum())
                 for k, found in block_keys(s, often):
                     parts = found // SALTED
                     keys.append(k.view(np.int64))
                     salts.append(np.where(parts > 0, node % (1 + parts), -1).astype(np.int32))
-                    orders.append(np.full(len(k), rare << 32 | len(s), np.int64))
+                    orders.append(np.full(len(k), own << 32 | len(s), np.int64))
                     nodes.append(np.full(len(k), node, np.int64))
+                    gathered += len(k)
+                if gathered > HANDED:
+                    yield handed()
+                    gathered = 0
             if keys:
-                columns = [pa.array(np.concatenate(x)) for x in (keys, salts, orders, nodes)]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "salt", "order", "node"])
+                yield handed()
 
     return docs.mapInArrow(sketch, "key long, salt int, order long, node long")
 
@@ -165,17 +215,20 @@ def _lead(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def _groups(blocks: DataFrame) -> DataFrame:
-    """(key, node, order, leader, leader_order, pair): the members, but for the leader, of each block that several sets share.
+    """(node, order, leader, leader_order, pair, group): the members, but for the leader, of each block that several sets share.
 
-    The parts of a block with many members have a leader each, and those are the members of one more group.
+    The parts of a block with many members have a leader each, and those are the members of one more group. group: the
+    leader of the whole block, so that all pairs of a block are pairs of a group.
     """
     led = cut(_lead(blocks, "key", "salt").filter("leader <> node OR (head AND salt >= 0)"), "led")
-    # A salted block's parts are one group to the pairs that are still open in the end.
-    members = led.filter("leader <> node").withColumn("pair", F.col("pair") & (F.col("salt") < 0))
-    heads = led.filter("head AND salt >= 0").select("key", "order", "node")
-    more = _lead(heads, "key").filter("leader <> node").withColumn("pair", F.lit(False))
-    columns = ["key", "node", "order", "leader", "leader_order", "pair"]
-    return members.select(columns).union(more.select(columns))
+    heads = cut(_lead(led.filter("head AND salt >= 0").select("key", "order", "node"), "key"), "heads")
+    tops = heads.select("key", F.col("leader").alias("top")).distinct()
+    members = led.filter("leader <> node")
+    plain = members.filter("salt < 0").withColumn("group", F.col("leader"))
+    dealt = members.filter("salt >= 0").join(tops, "key").withColumn("pair", F.lit(False)).withColumn("group", F.col("top"))
+    more = heads.filter("leader <> node").withColumn("pair", F.lit(False)).withColumn("group", F.col("leader"))
+    columns = ["node", "order", "leader", "leader_order", "pair", "group"]
+    return plain.select(columns).union(dealt.select(columns)).union(more.select(columns))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -183,9 +236,10 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(text) for text in batch.column("text").to_pylist()]
-            columns = [pa.array([node_of(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "shingles"])
+            for at in range(0, len(batch), 256):
+                found = [shingle_set(text.as_py()) for text in batch.column("text").slice(at, 256)]
+                columns = [pa.array([node_of(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "shingles"])
 
     few = wanted.count() <= BROADCAST_NODES
     small = F.broadcast if few else lambda x: x
@@ -223,6 +277,51 @@ def _close(pairs: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
     return sized.mapInArrow(near, "a long, b long, distance long")
 
 
+def _within(members: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (group, node, component) of one group but of different components that the sketches don't rule out.
+
+    A group is dealt into parts of about PART members, and a task compares two parts by their sketches alone, as matrices: no
+    row is made for a pair that is ruled out, and a large group is work for many tasks.
+    """
+    names = ["node", "component", "part", "n", "sketch"]
+
+    def compare(unit: pa.Table) -> pa.Table:
+        one, two = unit.column("one")[0].as_py(), unit.column("two")[0].as_py()
+        node, component, part, n = (unit.column(c).to_numpy() for c in names[:4])
+        length = np.array([len(x) for x in unit.column("sketch").to_pylist()])
+        rows = {int(k): np.flatnonzero(length == k) for k in np.unique(length)}
+        bits = {k: np.array([np.frombuffer(unit.column("sketch")[int(i)].as_py(), np.uint64) for i in at]) for k, at in rows.items()}
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for k, at in rows.items():
+            for other in (k, 2 * k):  # sets of linked sizes have sketches of one length, or one of twice the other's
+                if other not in rows:
+                    continue
+                to, y = rows[other], bits[other]
+                if other != k:
+                    y = y.reshape(len(y), 2, -1)
+                    y = y[:, 0] ^ y[:, 1]
+                for i, x in zip(at, bits[k], strict=True):
+                    if one == two:
+                        pick = to > i if other == k else np.ones(len(to), bool)
+                    else:
+                        pick = (part[to] != part[i]) & ((to > i) | (other != k))
+                    pick &= (component[to] != component[i]) & (4 * n[to] >= 3 * n[i]) & (3 * n[to] <= 4 * n[i])
+                    if pick.any():
+                        v = to[pick]
+                        distance = np.bitwise_count(y[pick] ^ x).sum(1, dtype=np.int64)
+                        v = v[(100 + percent) * distance <= (100 - percent) * (n[v] + n[i])]
+                        found.append((np.full(len(v), node[i]), node[v]))
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    parts = members.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"))
+    parts = parts.filter("x < y").select("group", F.ceil(F.col("members") / PART).cast("int").alias("parts"))
+    rows = members.join(parts, "group").join(brief, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    units = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    units = units.select("group", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), *names)
+    return units.groupBy("group", "one", "two").applyInArrow(compare, "a long, b long").distinct()
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Those of the close `pairs` (a, b) whose sets have the similarity."""
     named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -245,15 +344,9 @@ def jaccard_join(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     if percent != 75:
         raise ValueError("the size bands and prefixes are those of a similarity of 0.75")
-    rows = _sets_and_common(docs, "measured")
-    often = (
-        rows.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
-        .orderBy(F.desc("n"), "node").limit(MOST_COMMON).collect()
-    )
-    common = np.array([r["node"] for r in often], np.int64).view(np.uint64)
-    order = np.argsort(common)
-    common, counts = common[order], np.array([r["n"] for r in often], np.int64)[order]
-
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _measured(docs, max(6, parts.bit_length()))
+    common, counts = _common(rows)
     groups = _groups(_blocks(doc_text(docs).select("text"), common, counts))
     texts = rows.filter("kind = 0 AND n > 0")
     brief = texts.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -276,15 +369,10 @@ def jaccard_join(docs: DataFrame, percent: int = 75) -> DataFrame:
         return frame.withColumn(f"{node}_component", F.coalesce(f"{node}_component", node))
 
     others = placed(placed(close.join(first, ["a", "b"], "left_anti"), "a"), "b").filter("a_component <> b_component").select("a", "b")
-    many = placed(placed(groups.filter("NOT pair"), "node"), "leader")
-    apart = many.filter("node_component <> leader_component").select("key").distinct()
-    open_ = many.join(apart, "key", "left_semi")
-    members = open_.select("key", "node", size.alias("size"), F.col("node_component").alias("component"))
-    members = cut(members.union(open_.select("key", "leader", leader_size, "leader_component")).distinct(), "members")
-    a = members.toDF("key", "a", "a_size", "a_component")
-    b = members.toDF("key", "b", "b_size", "b_component")
-    inner = a.join(b, "key").filter("a_component < b_component AND 4 * a_size >= 3 * b_size AND 4 * b_size >= 3 * a_size").select("a", "b")
-    more = cut(_close(inner.distinct(), brief, percent).select("a", "b").union(others), "close")
+    many = groups.filter("NOT pair")
+    members = many.select("group", "node").union(many.select("group", "leader")).distinct()
+    members = placed(members, "node").withColumnRenamed("node_component", "component")
+    more = cut(_within(members, brief, percent).union(others).distinct(), "close")
     if not more.isEmpty():
         extra = _linked(more, docs, reps, percent)
         if not extra.isEmpty():
