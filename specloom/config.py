@@ -26,7 +26,8 @@ def _number(name: str, value) -> None:
 class SpectrumConfig:
     """How spectra are estimated. dt: sampling interval; f_max: by default Nyquist; f_min below 0 asks for signed frequencies,
     which have no order 3; spectrum_size sets the window length; m: windows of a chunk; m_var: chunks of an error batch;
-    break_after: chunks used for a key at most; method: 'relational', 'kernel', or 'auto', by the window length."""
+    break_after: chunks used for a key at most; method: 'kernel', an FFT in Arrow groups,
+    'relational', joins and aggregations alone, or 'auto', the faster, which is the kernel at all lengths that were measured."""
 
     dt: float
     f_unit: str = "Hz"

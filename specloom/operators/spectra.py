@@ -11,10 +11,6 @@ from specloom.plans import relational
 from specloom.plans.geometry import Geometry, geometry
 from specloom.sources.signal import checked_length, select_channels
 
-#: Up to this window length the transform is a join, beyond it an FFT.
-JOIN_POINTS = 32
-
-
 def relational_batches(signal: DataFrame, g: Geometry, n: int, orders: list[int], cross: list[tuple[int, ...]], channels: list[int], auto: bool) -> DataFrame:
     """Batch sums by SQL: every step is a join or an aggregation that Catalyst plans."""
     tables = relational.base(g, n, "SELECT ch, t, x FROM {signal}")
@@ -26,7 +22,7 @@ def finish(batches: DataFrame, g: Geometry) -> DataFrame:
     """Means over chunks, and errors from the full batches: the root of the mean variance of a batch's mean, halved since
     interlaced chunks share samples; null without a full batch."""
     m_var = g.config.m_var
-    error = lambda c: F.sqrt(F.greatest(F.avg(c), F.lit(0.0)) / m_var) / 2
+    error = lambda c: F.when(F.count(c) > 0, F.sqrt(F.greatest(F.avg(c), F.lit(0.0)) / m_var) / 2)
     rows = batches.groupBy("key", "ord", "i", "j").agg(
         (F.sum("sum_re") / F.sum("n")).alias("re"),
         (F.sum("sum_im") / F.sum("n")).alias("im"),
@@ -60,7 +56,6 @@ def spectra(signal: DataFrame, config: SpectrumConfig, cross: CrossConfig | None
     if not orders and not keys:
         raise InvalidConfigError("no spectrum is asked for")
     own = select_channels(signal, wanted)
-    join = config.method == "relational" or config.method == "auto" and g.n <= JOIN_POINTS
-    if join:
+    if config.method == "relational":
         return finish(relational_batches(own, g, n, orders, keys, wanted, cross.auto_corr), g)
     return finish(kernel_batches(own, g, n, orders, keys, cross.auto_corr), g)

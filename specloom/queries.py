@@ -104,6 +104,7 @@ for _n in (1, 2, 3, 4):
         add_spectrum(f"s{_n}_auto", only(_n, CONFIG))
         add_spectrum(f"s{_n}_full", only(_n, FULL))
     add_spectrum(f"s{_n}_kernel", only(_n, WIDE))
+    add_spectrum(f"s{_n}_relational", only(_n, CONFIG) | dict(method="relational"))
 add_spectrum("s3_auto_quarter", only(3, CONFIG))
 add_spectrum("s3_auto_half", only(3, HALF))
 for _name, _settings, _keys in (
