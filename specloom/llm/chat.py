@@ -131,7 +131,8 @@ def link_tool_calls(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     key = F.to_json(F.struct(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c"), F.col("conv_id").isNull().alias("n"), F.col("call_id").alias("i")))
     named = lambda i: F.to_json(F.struct(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c"), F.col("conv_id").isNull().alias("n"), i.alias("i")))
     turn = F.coalesce(F.col("turn"), F.lit(-1))
-    rows = events.select("*", F.when(F.col("call_id").isNotNull() & F.col("kind").isin("call", "result"), key).alias("key"), turn.alias("at"))
+    columns = ["conv_id", "turn", "role", "kind", "call_id", "name", "arguments", "after", "content"]
+    rows = events.select(*columns, F.when(F.col("call_id").isNotNull() & F.col("kind").isin("call", "result"), key).alias("key"), turn.alias("at"))
     rows = rows.withColumn("waits", F.transform(F.coalesce("after", F.array().cast("array<string>")), named))
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     nodes = rows.filter("key IS NOT NULL").groupBy("key").agg(

@@ -124,7 +124,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
         columns = [pa.array([model.features.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias])]
         yield pa.RecordBatch.from_arrays(columns, ["features", "weights", "bias"])
 
-    row = rows.repartition(1).mapInArrow(task, "features binary, weights binary, bias double").collect()[0]
+    found = rows.repartition(1).mapInArrow(task, "features binary, weights binary, bias double").collect()
+    if not found:  # a table without rows has no task
+        return fit([], [])
+    row = found[0]
     return NaiveBayesLinear(np.frombuffer(row["features"], np.uint32), np.frombuffer(row["weights"]), row["bias"])
 
 

@@ -1,0 +1,95 @@
+from collections import Counter, defaultdict
+
+import numpy as np
+from conftest_words import mutate, prose
+from hypothesis import given
+from hypothesis import strategies as st
+
+from specloom.llm import near as N
+from specloom.llm.components import connected_components
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words)} if 0 < len(words) < 5 else {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def brute(rows):
+    """A set size and component for each row, by all pairs of different sets that share a shingle."""
+    sets, ids = [], defaultdict(list)
+    for doc_id, text in rows:
+        s = frozenset(shingles(text))
+        if s not in ids:
+            sets.append(s)
+        ids[s].append(doc_id)
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    having = defaultdict(list)
+    for i, s in enumerate(sets):
+        shared = Counter(j for x in s for j in having[x])
+        for x in s:
+            having[x].append(i)
+        for j, n in shared.items():
+            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, s in enumerate(sets):
+        known = [d for d in ids[s] if d is not None]
+        least[root(i)] = min([*known, *([least[root(i)]] if least.get(root(i)) is not None else [])], default=None)
+    where = {s: i for i, s in enumerate(sets)}
+    return sorted(((d, len(s), least[root(where[s])] if s else d) for d, t in rows for s in [frozenset(shingles(t))]), key=repr)
+
+
+def same(docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert sorted((tuple(r) for r in N.jaccard_join(docs).select("doc_id", "n_shingles", "component_id").collect()), key=repr) == brute(rows)
+
+
+def test_documents(documents, odd_docs, no_docs):
+    same(documents)
+    same(odd_docs)
+    assert N.jaccard_join(no_docs).count() == 0
+
+
+def test_groups_around_the_limit(spark, monkeypatch):
+    """Chains, stars and cliques of near copies, a passage in many texts, with small parts so that groups are dealt."""
+    monkeypatch.setattr(N, "SALTED", 8)
+    monkeypatch.setattr(N, "PART", 4)
+    monkeypatch.setattr(N, "BROADCAST_NODES", 3)
+    texts, passage = [], prose(99, 60)
+    for g in range(4):
+        base = prose(g, 60 + 60 * g)
+        texts += [base] + [mutate(base, k, 0.01 + 0.004 * (k % 9)) for k in range(25)]
+        chain = base
+        for k in range(8):
+            chain = mutate(chain, 100 + k, 0.02)
+            texts.append(chain)
+    texts += [f"{prose(500 + k, 5 + 4 * k)} {passage}" for k in range(40)] + [prose(700 + k, 3 + k % 5) for k in range(30)]
+    same(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
+
+
+@given(st.lists(st.integers(0, 400), min_size=1, max_size=300), st.lists(st.integers(0, 400), min_size=1, max_size=300))
+def test_sketch_is_a_bound(a, b):
+    x, y = (np.unique(N.mix(np.array(v, np.uint64) + np.uint64(1))) for v in (a, b))
+    if not 0.5 <= len(x) / len(y) <= 2:
+        return
+    assert N.sketch_distance(N.parity_sketch(x), N.parity_sketch(y)) <= len(np.setxor1d(x, y))
+
+
+def test_packed_hashes():
+    values = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 5000, dtype=np.uint64))
+    parts = dict(N.pack_hashes([values[:3000], values[2000:]], 6))
+    back = np.concatenate([N.unpack_hashes(parts[r]) for r in sorted(parts)])
+    assert np.array_equal(back, np.sort(np.concatenate([values[:3000], values[2000:]]) >> np.uint64(64 - N.RESOLUTION)))
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(10, 60)] + [(5, 200), (200, 7), (7, 7), (5, 200), (None, 3), (300, 301)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 10 for k in range(10, 61)}, 5: 5, 7: 5, 200: 5, 300: 300, 301: 300}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
