@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Word separators of the shingle operators: space and the ASCII controls 9 to 13.
-SPACE = "\\x20\\x09-\\x0D"
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +57,42 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, "8m")
 
 
+_owner = ""
+_caches: list[dict] = []
+
+
+def cache() -> dict:
+    """A dictionary that a worker keeps from task to task, until a task of another operator begins."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def task(owner: str) -> Callable[[Batches], Batches]:
+    """Marks what a worker does with its batches as a task of an operator: the caches of others are emptied before it, and
+    freed memory goes back to the system after it, so that workers that outlive a stage don't add up."""
+
+    def mark(run: Batches) -> Batches:
+        def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begin(owner)
+            yield from run(batches)
+            pa.default_memory_pool().release_unused()
+
+        return tidy
+
+    return mark
+
+
+def begin(owner: str) -> None:
+    global _owner
+    if _owner != owner:
+        _owner = owner
+        for kept in _caches:
+            kept.clear()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps what it has
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def doc_text(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text of `docs` (null text: empty), with the columns named in `more`; other columns are left behind."""
     small_batches(docs.sparkSession)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import cut, small_batches
+from specloom.llm.common import cut, small_batches, task
 
 SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks long, n_removed long"
 #: Distinct pages of a host from which a node's importance is told, and the importance below which a branch goes.
@@ -194,6 +194,7 @@ def style_features(pages: DataFrame) -> DataFrame:
     see them, and a large host is as many rows as it has different features.
     """
 
+    @task("html")
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[tuple[str, int]] = set()
         for batch in batches:
@@ -259,6 +260,7 @@ def page_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, min_importance:
     low = cut(low.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low")), "low")  # as many as a site has styles
     few = (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_NODES
 
+    @task("html")
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [Page(source).main_text(frozenset(out or ())) for source, out in zip(*(batch.column(c).to_pylist() for c in ("html", "low")), strict=True)]

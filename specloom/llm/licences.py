@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from specloom.llm.common import doc_text
+from specloom.llm.common import doc_text, task
 
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
@@ -217,6 +217,7 @@ def licence_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None)
     templates = TEMPLATES if templates is None else templates
     compiled(templates)  # a wrong template fails here, not in a task
 
+    @task("licences")
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
         span = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))

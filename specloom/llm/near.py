@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specloom.llm.common import cut, doc_text
+from specloom.llm.common import cut, doc_text, task
 from specloom.llm.components import connected_components
 from specloom.llm.hashing import SPACES, mix, shingle_hashes, token_hashes
 
@@ -104,6 +104,7 @@ def _measured(docs: DataFrame, bits: int) -> DataFrame:
     """Rows (0, doc_id, shingles, node, sketch) of all texts and (1, null, range, null, blob) of the hashes of a task's sets."""
     names = ["kind", "doc_id", "n", "node", "sketch"]
 
+    @task("near")
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool: list[np.ndarray] = []
         pooled, known = 0, set()
@@ -157,6 +158,7 @@ def _blocks(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFram
     """(key, salt, order, node): the joined blocks of each set, once a task. order: own << 32 | shingles, own being the sum of
     1000 / sets over the shingles, so that the text that others are copies of comes before them; salt: -1, or of a block with many members the part of them that the set is in."""
 
+    @task("near")
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         low = np.uint64((1 << 22) - 1)
@@ -234,6 +236,7 @@ def _groups(blocks: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and shingles of the sets named in `wanted` (node, rep), rep being the id of a row that has the set."""
 
+    @task("near")
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
@@ -264,6 +267,7 @@ def sketch_distance(a: bytes, b: bytes) -> int:
 def _close(pairs: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
     """Those of `pairs` (a, b) that the sketches in `brief` (node, n, sketch) don't rule out, with the sketches' distance."""
 
+    @task("near")
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from specloom.llm.common import doc_text
+from specloom.llm.common import cache, doc_text, task
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -26,7 +26,7 @@ NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 #: Words that a worker keeps the ids of; beyond it the memory is emptied.
 MEMO_WORDS = 700_000
 
-_encoders: dict[str, "WordEncoder"] = {}
+_encoders: dict[str, "WordEncoder"] = cache()
 
 
 class WordEncoder:
@@ -135,6 +135,7 @@ def harmonic_pack(
     if capacity < 2 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
 
+    @task("packing")
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make_encoder(vocabulary)
         bins = HarmonicBins(capacity, TaskContext.get().partitionId())

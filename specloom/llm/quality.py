@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import cut, doc_text
+from specloom.llm.common import cut, doc_text, task
 from specloom.llm.hashing import WORDS_AND_MARKS, mix, token_hashes
 
 #: Buckets of the hashed n-grams; the last counts bigrams of a token with itself, whatever the token.
@@ -38,6 +38,7 @@ def buckets(text: str) -> np.ndarray:
 def bucket_counts(docs: DataFrame) -> np.ndarray:
     """Counts of each bucket over all of `docs` (text); they are added up in the tasks first, so the driver gets BUCKETS rows."""
 
+    @task("quality")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
@@ -77,6 +78,7 @@ def importance_logs(docs: DataFrame, labels: DataFrame, label: str = "quality",
     else:
         ratio = log_model(target) - log_model(bucket_counts(texts))
 
+    @task("quality")
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             logs = [float(ratio[buckets(text)].sum()) for text in batch.column("text").to_pylist()]

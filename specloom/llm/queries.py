@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from specloom.llm import oracles
 from specloom.llm.chat import REPLY, events_of, link_tool_calls
 from specloom.llm.common import table
 from specloom.llm.html import page_texts
@@ -78,21 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op6_tool_call_linking": """
-        WITH c AS (SELECT conv_id, turn, role, text, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind FROM conversations),
-        results AS (SELECT conv_id, turn - 1 AS id FROM c WHERE kind = 'result'), calls AS (SELECT conv_id, turn AS id FROM c WHERE kind = 'call'),
-        linked AS (
-            SELECT c.*, r.id IS NOT NULL AS answered, k.id IS NOT NULL AS called, b.id IS NOT NULL AS before
-            FROM c LEFT JOIN results r ON c.conv_id = r.conv_id AND c.turn = r.id
-            LEFT JOIN calls k ON c.conv_id = k.conv_id AND c.turn - 1 = k.id LEFT JOIN results b ON c.conv_id = b.conv_id AND c.turn - 2 = b.id)
-        SELECT conv_id, turn, kind, CAST(CASE kind WHEN 'call' THEN turn WHEN 'result' THEN turn - 1 END AS VARCHAR) AS call_id,
-            CASE WHEN kind = 'message' THEN 'message' WHEN kind = 'call' THEN CASE WHEN answered THEN 'linked' ELSE 'no_result' END
-                WHEN called THEN 'linked' ELSE 'no_call' END AS status,
-            CASE WHEN kind = 'call' THEN concat_ws(',', CASE WHEN text = '' THEN 'content: minLength' END,
-                CASE WHEN turn >= 2 AND NOT before THEN 'after: ' || (turn - 2) END) ELSE '' END AS errors,
-            turn AS ready_turn, CAST(0 AS BIGINT) AS depth,
-            CASE kind WHEN 'call' THEN '{"arguments":{"content":' || to_json(text) || ',"turn":' || turn || '},"id":"' || turn || '","kind":"call","name":"reply","role":"user"}'
-                WHEN 'result' THEN '{"content":' || to_json(text) || ',"id":"' || (turn - 1) || '","kind":"result","role":"assistant"}'
-                ELSE '{"content":' || to_json(text) || ',"kind":"message","role":"' || role || '"}' END AS json
-        FROM linked""",
+    "op6_tool_call_linking": oracles.TOOL_CALLS_SQL,
+    "op7_divergence_rules": oracles.divergence_rules_sql(),
+    "op10_parity_sketch_join": oracles.JACCARD_JOIN_SQL,
 }

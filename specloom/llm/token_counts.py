@@ -23,7 +23,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from specloom.llm.common import doc_text
+from specloom.llm.common import cache, doc_text, task
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Segments whose count a worker keeps, and transitions of its transducer; beyond them the memory is emptied.
@@ -36,7 +36,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 SEGMENTS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 ENDS_WHITE = re.compile(f"[{WHITE}]$")
-_counters: dict[str, "TokenCounter"] = {}
+_counters: dict[str, "TokenCounter"] = cache()
 
 
 def byte_letters() -> dict[str, int]:
@@ -217,6 +217,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
     MEMO_SEGMENTS counts and MEMO_TRANSITIONS transitions.
     """
 
+    @task("token counts")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = counter(vocabulary)
         for batch in batches:

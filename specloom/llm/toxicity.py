@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import doc_text
+from specloom.llm.common import doc_text, task
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 #: Lengths of the n-grams in bytes, bits of a feature number.
@@ -118,13 +118,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
     )
     rows = doc_text(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @task("toxicity")
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = sorted({(d, t, y) for b in batches for d, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "label")), strict=True)})
         model = fit([t for _, t, _ in seen], [int(y > 0) for *_, y in seen])
         columns = [pa.array([model.features.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias])]
         yield pa.RecordBatch.from_arrays(columns, ["features", "weights", "bias"])
 
-    found = rows.repartition(1).mapInArrow(task, "features binary, weights binary, bias double").collect()
+    found = rows.repartition(1).mapInArrow(learn, "features binary, weights binary, bias double").collect()
     if not found:  # a table without rows has no task
         return fit([], [])
     row = found[0]
@@ -139,6 +140,7 @@ def toxicity_scores(docs: DataFrame, model: NaiveBayesLinear) -> DataFrame:
     columns don't matter. Memory: a batch of rows and the model.
     """
 
+    @task("toxicity")
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = model.mask()
         for batch in batches:
