@@ -1 +1 @@
-
+"""Spectra of arriving samples."""
