@@ -21,13 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session; where that is unset, a new folder."""
+    """The folder that all executors share: spark.checkpoint.dir of the session; where that is unset, as in tests, a new
+    folder of this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="specloom-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="specloom-checkpoint-"))
+    return _own_dir[0]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -75,7 +80,7 @@ def task(owner: str) -> Callable[[Batches], Batches]:
         def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin(owner)
             yield from run(batches)
-            pa.default_memory_pool().release_unused()
+            release()
 
         return tidy
 
@@ -88,9 +93,15 @@ def begin(owner: str) -> None:
         _owner = owner
         for kept in _caches:
             kept.clear()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps what it has
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: an idle worker's counts against its executor as well."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps what it has
+        ctypes.CDLL(None).malloc_trim(0)
+
 
 
 def doc_text(docs: DataFrame, *more: str) -> DataFrame:
