@@ -382,11 +382,10 @@ def jaccard_join(docs: DataFrame, percent: int = 75) -> DataFrame:
         if not extra.isEmpty():
             labels = connected_components(links.union(extra))
 
-    of = (
-        rows.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-    )
-    least = of.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return of.join(least, "component", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    # The least id of a set, then of a component: copies are added up before anything is dealt by component.
+    sets = texts.groupBy("node").agg(F.min("doc_id").alias("own")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sets = cut(sets, "components")
+    least = sets.groupBy("component").agg(F.min("own").alias("least"))
+    found = sets.join(least, "component").select("node", "least")
+    of = rows.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node").join(found, "node", "left")
+    return of.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
