@@ -9,9 +9,13 @@ fewest bins that hold it, longest piece first, so that a worker pads one sequenc
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,12 +29,15 @@ SCHEMA = (
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 #: Words that a worker keeps the ids of; beyond it the memory is emptied.
 MEMO_WORDS = 700_000
+#: Words that are one piece of Latin letters, alone or before one piece of marks, for a tokenizer that parts letters and marks.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]{1,8})?").fullmatch
 
 _encoders: dict[str, "WordEncoder"] = cache()
 
 
 class WordEncoder:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes, by a tokenizer that never joins across ASCII space.
+    """Token ids of texts, as little-endian unsigned 32-bit bytes, by a tokenizer that never joins across ASCII space and, if it
+    marks the ends of pieces, lower-cases and parts letters from marks.
 
     A tokenizer that drops white space gives a text the ids of its words one after the other, so a word is encoded
     once and remembered. Texts that spell a special token are encoded whole, as the tokenizer sees them.
@@ -45,11 +52,51 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        model = json.loads(self.tokenizer.to_str())["model"]
+        #: By id, whether a token ends a piece; None if the vocabulary doesn't mark it.
+        self.ends = None
+        if suffix := model.get("end_of_word_suffix"):
+            self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, words: list[str], pieces: list[int]) -> list[bytes]:
+        """The ids of words with a known number of pieces each: encoded as one text, and parted after so many ends of pieces."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        cuts = [0, *(4 * ends[np.cumsum(pieces) - 1]).tolist()]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _marks(self, marks: str) -> bytes:
+        found = self.marks.get(marks)
+        if found is None:
+            found = self.marks[marks] = self._raw([marks])[0]
+        return found
+
+    def _learn(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 5_000):
+            part = words[at : at + 5_000]
+            plain, pieces, rest = [], [], []
+            for w in part:
+                m = PLAIN(text := w.decode()) if self.ends is not None else None
+                if m:
+                    marks = m.group(2)
+                    known = self.memo.get(m.group(1).lower().encode())  # letters have the ids of lower case
+                    if known is not None:
+                        self.memo[w] = known + self._marks(marks) if marks else known
+                    else:
+                        plain.append((w, text))
+                        pieces.append(1 + bool(marks))
+                else:
+                    rest.append((w, text))
+            if plain:
+                self.memo.update(zip((w for w, _ in plain), self._plain([t for _, t in plain], pieces), strict=True))
+            if rest:
+                self.memo.update(zip((w for w, _ in rest), self._raw([t for _, t in rest]), strict=True))
 
     def __call__(self, text: str) -> bytes:
         if any(x in text for x in self.special):
@@ -62,10 +109,9 @@ class WordEncoder:
             new = [w for w in set(words) if w not in memo]
             if len(memo) + len(new) > MEMO_WORDS:
                 memo.clear()
+                self.marks.clear()
                 new = list(set(words))
-            for at in range(0, len(new), 50_000):
-                part = new[at : at + 50_000]
-                memo.update(zip(part, self._raw([w.decode() for w in part]), strict=True))
+            self._learn(new)
             return b"".join(map(memo.__getitem__, words))
 
 
