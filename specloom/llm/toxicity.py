@@ -71,11 +71,11 @@ def fit(texts: list[str], labels: list[int]) -> NaiveBayesLinear:
     if not 0 < n_pos < n:
         share = (n_pos + 0.5) / (n + 1)
         return NaiveBayesLinear(np.empty(0, np.uint32), np.empty(0), float(np.log(share / (1 - share))))
-    rows = [np.unique(np.concatenate([*ngrams(text), np.empty(0, np.uint32)])) for text in texts]
+    present = lambda text: np.unique(np.concatenate([*ngrams(text), np.empty(0, np.uint32)]))
     size = 1 << BITS
     p, q = np.zeros(size), np.zeros(size)
-    for row, label in zip(rows, y, strict=True):
-        (p if label else q)[row] += 1
+    for text, label in zip(texts, y, strict=True):
+        (p if label else q)[present(text)] += 1
     with np.errstate(divide="ignore", invalid="ignore"):
         both = p + q
         chi2 = np.nan_to_num(n * (p * (n - n_pos - q) - q * (n_pos - p)) ** 2 / (n_pos * (n - n_pos) * both * (n - both)))
@@ -86,7 +86,8 @@ def fit(texts: list[str], labels: list[int]) -> NaiveBayesLinear:
 
     wanted = np.zeros(size, bool)
     wanted[kept] = True
-    rows = [np.searchsorted(kept, row[wanted[row]]) for row in rows]
+    # Features are hashed twice, so that those of all texts needn't be held at once.
+    rows = [np.searchsorted(kept, row[wanted[row]]) for row in map(present, texts)]
     columns, of = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
     x = ratio[columns]
     w, b = np.zeros(len(kept)), float(np.log(n_pos / (n - n_pos)))
