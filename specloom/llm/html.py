@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,15 +191,15 @@ def host_of(url: Column) -> Column:
 def style_features(pages: DataFrame) -> DataFrame:
     """(host, node, kind, feature, n): in how many distinct pages of a host a node has a presentation (kind 0) or a content (1).
 
-    Pages are told apart by the hash of their source, and tasks add up what they have, so copies count as often as tasks
-    see them, and a large host is as many rows as it has different features.
+    Pages are told apart by the hash of their source. A page leaves its task as the names of what it has, and copies from all
+    tasks are dropped by a shuffle of these before they are added up, so the counts don't depend on how pages are dealt.
     """
 
     @task("html")
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[tuple[str, int]] = set()
+        known: set[tuple[str, int]] = set()  # copies that are known to be ones needn't be read or sent
         for batch in batches:
-            counts: dict[tuple[str, int, int, int], int] = {}
+            rows: list[tuple[str, int, list[tuple[int, int, int]]]] = []
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 copy = (host, name_of(source))
                 if copy in known:
@@ -206,20 +207,17 @@ def style_features(pages: DataFrame) -> DataFrame:
                 known.add(copy)
                 page = Page(source)
                 found = {(path, 0, "|".join(shapes)) for path, shapes in page.shapes.items()} | {(n.path, 1, t) for t, n in page.blocks}
-                names: dict[str, int] = {}
-                for path, kind, feature in found:
-                    node = names.get(path)
-                    if node is None:
-                        node = names[path] = name_of(path)
-                    key = (host, node, kind, name_of(feature))
-                    counts[key] = counts.get(key, 0) + 1
-            columns = [*zip(*counts)] if counts else [(), (), (), ()]
-            types = [pa.string(), pa.int64(), pa.int32(), pa.int64()]
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)] + [pa.array(counts.values(), pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["host", "node", "kind", "feature", "n"])
-
-    rows = pages.select("host", "html").mapInArrow(measure, "host string, node long, kind int, feature long, n long")
-    return rows.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
+                names = {path: name_of(path) for path, *_ in found}
+                rows.append((*copy, [(names[path], kind, name_of(feature)) for path, kind, feature in found]))
+            flat = [x for *_, found in rows for x in found]
+            offsets = np.cumsum([0, *(len(found) for *_, found in rows)])
+            types = [pa.int64(), pa.int32(), pa.int64()]
+            parts = [pa.array(c, t) for c, t in zip([*zip(*flat)] if flat else [(), (), ()], types, strict=True)]
+            found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, ["node", "kind", "feature"]))
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, *_ in rows], pa.string()), pa.array([c for _, c, _ in rows], pa.int64()), found], ["host", "copy", "found"])
+
+    rows = pages.select("host", "html").mapInArrow(measure, "host string, copy long, found array<struct<node:bigint,kind:int,feature:bigint>>")
+    return rows.dropDuplicates(["host", "copy"]).select("host", F.inline("found")).groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("n"))
 
 
 def importances(features: DataFrame) -> DataFrame:
@@ -250,7 +248,7 @@ def page_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, min_importance:
     Returns a row for each row: page_id, url, text (blocks in page order, parted by an empty line, white space in them as one
     space; empty if none), n_chars (its code points), n_blocks and n_removed (blocks that stayed and went). A null source
     is empty; a null url or one without a host shares the empty host; a null page_id stays null; repeated rows stay
-    repeated and count once in a task for the tree; an empty table gives none; other columns don't matter. Broken markup is
+    repeated and count once for the tree; an empty table gives none; other columns don't matter. Broken markup is
     read as browsers do in outline: unclosed elements end with what holds them. Memory: a batch of pages, and the names of a
     task's pages.
     """

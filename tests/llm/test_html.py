@@ -42,6 +42,20 @@ def test_style_tree(spark):
     assert sorted(round(r["importance"], 3) for r in table) == [0.0, 0.9]
 
 
+def test_copies_over_partitions(spark):
+    """Copies of a page count once however many tasks see them: the tree is the same for one partition and for many."""
+    words = lambda k: f"<body>Body of page {k} <div>Part {k}</div></body>"
+    rows = [(k, "http://a.example/", words(k)) for k in range(50)] + [(100 + k, "http://a.example/", words("copied")) for k in range(200)]
+    rows += [(400 + k, "http://b.example/", words("alone")) for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, many = pages.repartition(1), pages.repartition(40)
+    table = lambda p: sorted(map(tuple, style_features(p.selectExpr("html", "url AS host")).collect()))
+    assert table(one) == table(many) and all(n == 1 for host, *_, n in table(many) if host == "http://b.example/")
+    texts = [{r["page_id"]: r["text"] for r in page_texts(p).collect()} for p in (one, many)]
+    assert texts[0] == texts[1] and all(texts[1][k] == f"Body of page {k}\n\nPart {k}" for k in range(50))
+    assert all(texts[1][400 + k] == "Body of page alone\n\nPart alone" for k in range(40))
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None, "h"), (None, "", "", "h"), (3, "not a url", "<p>x", "h"), (3, "not a url", "<p>x", "h"), (4, "HTTP://U:p@Host.Example:80/?q#f", "<p>y", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
