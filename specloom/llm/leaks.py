@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash over item-sized windows, in DataFrame expressions alone.
 
 A benchmark item's anchors are its rarest shingles, of more than a quarter of its weight; a window that is similar enough
-shares one of them, or the common weight would stay below three quarters of the item's. Wherever a text has an anchor, the
-window of the item's size that has it in the same place is taken. Windows and items have a weighted 64-bit SimHash. Each
+shares one of them, or the common weight would stay below three quarters of the item's. Wherever a text has an anchor, all
+windows of the item's size that hold it are taken, each once. Windows and items have a weighted 64-bit SimHash. Each
 fingerprint is cut into BLOCKS blocks; an item is indexed under all values of a block within RADIUS // BLOCKS bits, so every
 fingerprint within RADIUS of the window's meets it in one block at least. What meets is compared by the exact weighted
 similarity of the shingle sets, and that decides.
@@ -73,7 +73,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def anchors_of(items: DataFrame) -> DataFrame:
-    """(item, n_words, offset, hash): the places of each item's anchors. The rarest come first, by the items that have them."""
+    """(item, n_words, hash): each item's anchors. The rarest come first, by the items that have them."""
     spread = items.select("item", F.explode("shingles").alias("s")).select("item", "s.hash", F.col("s.weight").alias("own"))
     rarity = spread.groupBy("hash").agg(F.count("*").alias("items"))
     rarest = spread.join(rarity, "hash").groupBy("item").agg(F.sort_array(F.collect_list(F.struct("items", "hash", "own"))).alias("rarest"))
@@ -81,10 +81,8 @@ def anchors_of(items: DataFrame) -> DataFrame:
     chosen = lambda acc, x: F.when(4 * acc["sum"] > F.col("weight"), acc).otherwise(
         F.struct((acc["sum"] + x["own"]).alias("sum"), F.concat(acc["kept"], F.array(x["hash"])).alias("kept"))
     )
-    kept = items.join(rarest, "item").select("item", "n_words", "words", F.aggregate("rarest", begin, chosen)["kept"].alias("kept"))
-    places = kept.select("*", F.explode(F.sequence(F.lit(0), F.col("n_words") - WIDTH)).alias("offset"))
-    hashed = places.withColumn("hash", F.xxhash64(*(F.get("words", F.col("offset") + k) for k in range(WIDTH))))
-    return hashed.filter(F.array_contains("kept", F.col("hash"))).select("item", "n_words", "offset", "hash")
+    kept = items.join(rarest, "item").select("item", "n_words", F.aggregate("rarest", begin, chosen)["kept"].alias("kept"))
+    return kept.select("item", "n_words", F.explode("kept").alias("hash"))
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> DataFrame:
@@ -106,10 +104,12 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 75) ->
     range_ = F.when(F.size("words") >= WIDTH, F.sequence(F.lit(0), F.size("words") - WIDTH))
     places = texts.select("doc_id", "words", F.explode(range_).alias("place"))
     places = places.withColumn("hash", F.xxhash64(*(F.get("words", F.col("place") + k) for k in range(WIDTH))))
-    start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("offset"), F.size("words") - F.col("n_words")))
+    first = F.greatest(F.lit(0), F.col("place") + WIDTH - F.col("n_words"))
+    last = F.least(F.col("place"), F.greatest(F.lit(0), F.size("words") - F.col("n_words")))
     hits = (
         places.join(F.broadcast(anchors) if few else anchors, "hash")
-        .select("doc_id", "item", start.alias("start"), F.slice("words", start + 1, F.col("n_words")).alias("window"))
+        .select("doc_id", "item", "n_words", "words", F.explode(F.sequence(first, last)).alias("start"))
+        .select("doc_id", "item", "start", F.slice("words", F.col("start") + 1, F.col("n_words")).alias("window"))
         .distinct()
     )
     # Both are written, or the optimizer would compute fingerprints anew to test that they aren't null.

@@ -46,6 +46,26 @@ def test_against_all_windows(spark):
             assert r["similarity"] == 1 and words[r["first_word"] : r["first_word"] + len(item)] == item
 
 
+def test_edited_passages(spark):
+    """All that brute force over all windows finds, with its similarity, when words are replaced, deleted or inserted."""
+    import random
+
+    items = [(k, prose(k, 15 + k)) for k in range(40)]
+    docs = []
+    for seed in range(6):
+        r = random.Random(seed)
+        for k, text in items:
+            words = text.split()
+            for _ in range(r.randint(1, 2)):
+                at = r.randrange(len(words))
+                words[at : at + r.randint(0, 1)] = [f"new{r.randrange(1000)}"] * r.randint(0, 1)
+            docs.append((1000 * seed + k, f"{prose(5000 + 100 * seed + k, 20)} {' '.join(words)} {prose(9000 + 100 * seed + k, 20)}"))
+    found = benchmark_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = brute([(d, t.split()) for d, t in docs], items)
+    assert len(expected) > 100 and {(r["doc_id"], r["item_id"]) for r in found} == expected.keys()
+    assert all(abs(r["similarity"] - expected[r["doc_id"], r["item_id"]]) < 1e-6 for r in found)
+
+
 def test_documents(spark, documents):
     benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     items, shared = [tuple(r) for r in benchmark.select("item_id", "text").collect()], defaultdict(set)
