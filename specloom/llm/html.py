@@ -3,8 +3,8 @@
 The pages of a host are merged into one tree of styles: a node is a path of elements with their classes. Over the distinct
 pages of the host that have a node, its presentation (the elements below it) and its contents (its texts) have an entropy: what
 repeats on most pages says little, what differs from page to page is the page's own. Branches of low importance are taken
-out of every page, together with those whose elements say what they are (menus, headers, footers, forms, adverts). Of a page with
-an article, only that is kept.
+out of every page, and a branch whose texts as a whole are the same on most pages is taken out of those; so are those whose
+elements say what they are (menus, headers, footers, forms, adverts). Of a page with an article, only that is kept.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ NOISE_WORDS = frozenset(
     "comments comment commentlist respond replies disqus share sharing social related recommended login signup search widget pager pagination".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-#: Elements of running text, that an article keeps whatever their importance.
+#: Elements of running text, that an article keeps unless a branch around them goes.
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 
 TOKENS = re.compile(
@@ -58,18 +58,39 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+DIGEST = 0x9E3779B97F4A7C15
+
+
 def name_of(text: str) -> int:
     """A 64-bit name of a text, as a signed number."""
     return int.from_bytes(blake2b(text.encode(errors="surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 class Node:
-    """An open element. noise: it or one above says that it isn't content; article: inside one; path: of its style."""
+    """An open element. noise: it or one above says that it isn't content; article: inside one; path: of its style;
+    digest: names the texts below it that aren't noise."""
 
-    __slots__ = ("tag", "path", "noise", "article", "main", "children")
+    __slots__ = ("tag", "path", "noise", "article", "main", "children", "parent", "digest")
 
-    def __init__(self, tag: str, path: str, noise: bool, article: bool, main: bool):
+    def __init__(self, tag: str, path: str, noise: bool, article: bool, main: bool, parent: Node | None = None):
         self.tag, self.path, self.noise, self.article, self.main, self.children = tag, path, noise, article, main, []
+        self.parent, self.digest = parent, 0
+
+    @property
+    def running(self) -> bool:
+        """Whether it is running text of an article: that goes with a branch around it alone."""
+        return (self.article or self.main) and self.tag in TEXT_TAGS and "." not in self.path.rsplit("/", 1)[-1]
+
+    @property
+    def branch(self) -> bool:
+        """Whether it may go as a whole: a block below the page's body, article or main part that isn't running text."""
+        if self.tag not in BLOCKS or self.tag in ("html", "body") or self.running or self.noise:
+            return False
+        return (self.parent.article or self.parent.main) == (self.article or self.main) and self.parent.article == self.article
+
+    def add(self, name: int) -> None:
+        """Take in the name of a text, or of a branch's texts, that comes next."""
+        self.digest = (self.digest * DIGEST + name) & ((1 << 64) - 1)
 
 
 def opened(tag: str, attributes: str, parent: Node) -> Node:
@@ -91,7 +112,7 @@ def opened(tag: str, attributes: str, parent: Node) -> Node:
         or not (article or main) and (tag == "header" or "header" in words)
     )
     own = f"{tag}.{'.'.join(sorted(style.split()))}" if style else tag
-    return Node(tag, f"{parent.path}/{own}", noise, article, main)
+    return Node(tag, f"{parent.path}/{own}", noise, article, main, parent)
 
 
 class Page:
@@ -114,10 +135,15 @@ class Page:
                     holder = next(n for n in reversed(stack) if n.tag in BLOCKS or n is root)
                     inner = next((n for n in reversed(stack) if n.noise), holder)
                     self.blocks.append((words, inner if inner.noise else holder))
+                    if not inner.noise:
+                        holder.add(name_of(words))
 
         def pop(to: int) -> None:
             for node in stack[to:]:
                 self.shapes.setdefault(node.path, []).append(" ".join(k for k, _ in groupby(node.children)))
+            for node in reversed(stack[to:]):
+                if node.digest:
+                    node.parent.add(node.digest)
             del stack[to:]
 
         while True:
@@ -166,6 +192,18 @@ class Page:
         flush()
         pop(1)
 
+    def branches(self) -> dict[str, set[str]]:
+        """Path to the contents of the branches that have text, each named as a whole."""
+        seen: set[int] = set()
+        found: dict[str, set[str]] = {}
+        for _, node in self.blocks:
+            while node is not None and id(node) not in seen:
+                seen.add(id(node))
+                if node.branch and node.digest:
+                    found.setdefault(node.path, set()).add(str(node.digest))
+                node = node.parent
+        return found
+
     def main_text(self, unimportant: frozenset[int]) -> tuple[str, int, int]:
         """The text of the blocks that stay, their count, and the count of those that went."""
         content = [(t, n) for t, n in self.blocks if not n.noise]
@@ -173,14 +211,30 @@ class Page:
             if any(inside(n) for _, n in content):
                 content = [(t, n) for t, n in content if inside(n)]
                 break
-        kept = [t for t, n in content if not (unimportant and self.goes(n, unimportant))]
+        told: dict[int, bool] = {}
+        kept = [t for t, n in content if not (unimportant and self.goes(n, unimportant, told))]
         return "\n\n".join(kept), len(kept), len(self.blocks) - len(kept)
 
     @staticmethod
-    def goes(node: Node, unimportant: frozenset[int]) -> bool:
-        """Whether the node is unimportant; a branch goes as its texts go. Running text of an article stays."""
-        running = (node.article or node.main) and node.tag in TEXT_TAGS and "." not in node.path.rsplit("/", 1)[-1]
-        return not running and name_of(node.path) in unimportant
+    def goes(node: Node, unimportant: frozenset[int], told: dict[int, bool]) -> bool:
+        """Whether the node is unimportant, or a branch that it is in. Running text of an article goes with a branch alone.
+
+        told: what is known of the branches of the page.
+        """
+        if not node.running and name_of(node.path) in unimportant:
+            return True
+        way, out = [], False
+        while node is not None:
+            if id(node) in told:
+                out = told[id(node)]
+                break
+            way.append(node)
+            node = node.parent
+        for node in reversed(way):
+            inner = node.parent is not None and (node.article, node.main) != (node.parent.article, node.parent.main)
+            out = (out and not inner) or (node.branch and name_of(node.path) ^ name_of(str(node.digest)) in unimportant)
+            told[id(node)] = out
+        return out
 
 
 def host_of(url: Column) -> Column:
@@ -189,7 +243,8 @@ def host_of(url: Column) -> Column:
 
 
 def style_features(pages: DataFrame) -> DataFrame:
-    """(host, node, kind, feature, n): in how many distinct pages of a host a node has a presentation (kind 0) or a content (1).
+    """(host, node, kind, feature, n): in how many distinct pages of a host a node has a presentation (kind 0), a content (1) or,
+    as a branch, the texts below it as one content (2).
 
     Pages are told apart by the hash of their source. A page leaves its task as the names of what it has, and copies from all
     tasks are dropped by a shuffle of these before they are added up, so the counts don't depend on how pages are dealt.
@@ -207,6 +262,7 @@ def style_features(pages: DataFrame) -> DataFrame:
                 known.add(copy)
                 page = Page(source)
                 found = {(path, 0, "|".join(shapes)) for path, shapes in page.shapes.items()} | {(n.path, 1, t) for t, n in page.blocks}
+                found |= {(path, 2, whole) for path, wholes in page.branches().items() for whole in wholes}
                 names = {path: name_of(path) for path, *_ in found}
                 rows.append((*copy, [(names[path], kind, name_of(feature)) for path, kind, feature in found]))
             flat = [x for *_, found in rows for x in found]
@@ -221,7 +277,7 @@ def style_features(pages: DataFrame) -> DataFrame:
 
 
 def importances(features: DataFrame) -> DataFrame:
-    """(host, node, pages, has_text, importance): from 0, the same on all pages, to 1, different on each.
+    """(host, node, pages, has_text, importance, shape): from 0, the same on all pages, to 1, different on each.
 
     With m pages, the presentation's part is the entropy of the presentations over log m, and the contents' one less the mean
     entropy of a content over the pages that have it, again over log m. A node without contents has its presentation's alone.
@@ -237,11 +293,21 @@ def importances(features: DataFrame) -> DataFrame:
     shape = (m - F.col("shape") / F.col("pages")) / m
     text = 1 - F.col("text") / (F.col("texts") * m)
     both = F.when(F.col("texts") > 0, PRESENTATION * shape + (1 - PRESENTATION) * text).otherwise(shape)
-    return sums.filter(F.col("pages") >= 2).select("host", "node", "pages", F.col("texts") > 0, F.greatest(F.lit(0.0), both).alias("importance")).toDF(
-        "host", "node", "pages", "has_text", "importance"
+    return sums.filter(F.col("pages") >= 2).select("host", "node", "pages", F.col("texts") > 0, F.greatest(F.lit(0.0), both).alias("importance"), shape).toDF(
+        "host", "node", "pages", "has_text", "importance", "shape"
     )
 
 
+def repeated_branches(features: DataFrame, told: DataFrame, min_importance: float) -> DataFrame:
+    """(host, node): the contents of branches that are the same on so many pages that their own importance is low.
+
+    A node's name and its content's are combined by XOR. A branch that differs on a page stays there, whatever it is elsewhere.
+    """
+    own = 1 - F.log(F.col("n").cast("double")) / F.log(F.col("pages").cast("double"))
+    whole = features.filter("kind = 2 AND n > 1").join(told.select("host", "node", "pages", "shape"), ["host", "node"])
+    return whole.filter(PRESENTATION * F.col("shape") + (1 - PRESENTATION) * own < min_importance).select("host", F.col("node").bitwiseXOR(F.col("feature")).alias("node"))
+
+
 def page_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
     """The main text of every page of `pages` (page_id, url, html).
 
@@ -254,7 +320,10 @@ def page_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, min_importance:
     """
     small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    low = importances(style_features(rows)).filter((F.col("pages") >= least_pages) & F.col("has_text") & (F.col("importance") < min_importance))
+    features = cut(style_features(rows), "features")
+    told = importances(features).filter(F.col("pages") >= least_pages)
+    low = told.filter(F.col("has_text") & (F.col("importance") < min_importance)).select("host", "node")
+    low = low.union(repeated_branches(features, told, min_importance))
     low = cut(low.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low")), "low")  # as many as a site has styles
     few = (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_NODES
 

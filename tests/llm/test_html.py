@@ -56,6 +56,19 @@ def test_copies_over_partitions(spark):
     assert all(texts[1][400 + k] == "Body of page alone\n\nPart alone" for k in range(40))
 
 
+def test_branches_of_an_article(spark):
+    """Running text goes with a branch that repeats on most pages, and stays where the branch is the page's own."""
+    shared = "".join(f"<p>Shared line {k}</p>" for k in range(5))
+    box = lambda k: "Same words on every page" if k < 12 else f"Own words {k}"
+    page = lambda tag, k: f'<{tag}><p>Lead of all</p><div class="x7"><div><p>{box(k)}</p></div></div><div class="y"><p>Story {k}</p>{shared}</div></{tag}>'
+    rows = [(100 * a + k, f"http://{tag}.example/", page(tag, k)) for a, tag in enumerate(("main", "article")) for k in range(15)]
+    got = {r["page_id"]: r["text"] for r in page_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    lines = [f"Shared line {k}" for k in range(5)]
+    for k in range(15):
+        expected = "\n\n".join(["Lead of all", *[f"Own words {k}"] * (k >= 12), f"Story {k}", *lines])
+        assert got[k] == got[100 + k] == expected
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None, "h"), (None, "", "", "h"), (3, "not a url", "<p>x", "h"), (3, "not a url", "<p>x", "h"), (4, "HTTP://U:p@Host.Example:80/?q#f", "<p>y", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
