@@ -26,7 +26,7 @@ def _number(name: str, value) -> None:
 class SpectrumConfig:
     """How spectra are estimated. dt: sampling interval; f_max: by default Nyquist; f_min below 0 asks for signed frequencies,
     which have no order 3; spectrum_size sets the window length; m: windows of a chunk; m_var: chunks of an error batch;
-    break_after: chunks used for a key at most; method: 'kernel', an FFT in Arrow groups,
+    break_after: chunks used for a key at most, by default all; method: 'kernel', an FFT in Arrow groups,
     'relational', joins and aggregations alone, or 'auto', the faster, which is the kernel at all lengths that were measured."""
 
     dt: float
@@ -38,7 +38,7 @@ class SpectrumConfig:
     order_in: str | list[int] | tuple[int, ...] = "all"
     m: int = 10
     m_var: int = 10
-    break_after: int = 1_000_000
+    break_after: int | None = None
     method: str = "auto"
 
     def __post_init__(self) -> None:
@@ -53,8 +53,10 @@ class SpectrumConfig:
             _number("f_max", self.f_max)
             if self.f_max <= self.f_min:
                 raise InvalidConfigError("f_max must be larger than f_min")
-        for name in ("spectrum_size", "m", "m_var", "break_after"):
+        for name in ("spectrum_size", "m", "m_var"):
             _positive_int(name, getattr(self, name))
+        if self.break_after is not None:
+            _positive_int("break_after", self.break_after)
         if self.spectrum_size < 2:
             raise InvalidConfigError("spectrum_size must be 2 or more")
         if self.order_in != "all":

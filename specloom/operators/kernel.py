@@ -85,7 +85,8 @@ def single_spectra(found: dict[int, np.ndarray], g: Geometry, orders: list[int],
 def kernel_batches(signal: DataFrame, g: Geometry, n: int, orders: list[int], cross: list[tuple[int, ...]], auto: bool) -> DataFrame:
     """Sums and variances of the single spectra of each batch."""
     points, h, m_var = g.chunk_points, g.h, g.config.m_var
-    chunks = min(2 * (n // points) - (0 if (n // points) * points + h <= n else 1), g.config.break_after)
+    chunks = 2 * (n // points) - (0 if (n // points) * points + h <= n else 1)
+    chunks = chunks if g.config.break_after is None else min(chunks, g.config.break_after)
 
     def batch_of(chunk) -> object:
         return F.when((chunk >= 0) & (chunk < chunks), F.floor(chunk / m_var))

@@ -52,12 +52,13 @@ def base(g: Geometry, n: int, signal: str) -> dict[str, str]:
     """The common tables: signal, framed samples, twiddles and coefficients aw; awm also has the bins below 0."""
     points, bins = g.chunk_points, g.transform_bins
     chunk = f"(2 * floor((t - s) / {points}) + CASE WHEN s > 0 THEN 1 ELSE 0 END)"
+    cap = "" if g.config.break_after is None else f" AND {chunk} < {g.config.break_after}"
     rows = ", ".join(f"({p}, {k}, {number(c)}, {number(d)})" for p, k, c, d in g.twiddles(bins))
     tables = {
         "signal": signal,
         "shifted": f"SELECT ch, t, x, 0 AS s FROM signal UNION ALL SELECT ch, t, x, {g.h} AS s FROM signal WHERE t >= {g.h}",
         "framed": f"SELECT ch, s, CAST(floor((t - s) / {points}) AS BIGINT) AS fr, CAST(floor(((t - s) % {points}) / {g.n}) AS BIGINT) AS wi, "
-        f"CAST((t - s) % {g.n} AS INT) AS p, x FROM shifted WHERE floor((t - s) / {points}) * {points} + {points} + s <= {n} AND {chunk} < {g.config.break_after}",
+        f"CAST((t - s) % {g.n} AS INT) AS p, x FROM shifted WHERE floor((t - s) / {points}) * {points} + {points} + s <= {n}{cap}",
         "tw": f"SELECT * FROM (VALUES {rows}) AS v(p, k, c, d)",
         "aw": "SELECT ch, fr, s, wi, k, sum(x * c) AS re, sum(x * d) AS im FROM framed JOIN tw ON framed.p = tw.p GROUP BY ch, fr, s, wi, k",
     }

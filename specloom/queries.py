@@ -30,6 +30,8 @@ SIGNAL = (
 )
 #: The number of samples, as SQL that any scale factor answers.
 SAMPLES = "(SELECT count(*) FROM events)"
+#: Chunks that the check SQL counts at most: its text is kept as it was. The engine has no such cap.
+SQL_CHUNKS = 1_000_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -60,7 +62,7 @@ def _spectrum(settings: dict, cross: dict, spark: SparkSession, sf_dir: str) ->
 
 
 def _tables(settings: dict) -> tuple[Geometry, dict[str, str]]:
-    g = geometry(SpectrumConfig(**settings))
+    g = geometry(SpectrumConfig(**dict(break_after=SQL_CHUNKS) | settings))
     return g, R.base(g, SAMPLES, SIGNAL)
 
 

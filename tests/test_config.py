@@ -68,3 +68,28 @@ def test_feasibility():
         geometry(SpectrumConfig(1.0, spectrum_size=9, f_min=0.1)).check(10_000, [3], [])
     with pytest.raises(InvalidConfigError):
         geometry(SpectrumConfig(1.0, spectrum_size=9, f_min=0.1)).check(10_000, [], [(0, 1, 1)])
+
+
+def test_no_cap_by_default():
+    """All chunks of a long signal are counted unless break_after says otherwise."""
+    from specloom.plans.relational import base
+    from specloom.queries import CONFIG
+
+    g = geometry(SpectrumConfig(**CONFIG))
+    assert g.config.break_after is None and base(g, 123, "SELECT 1")["framed"].endswith("<= 123")
+    assert base(geometry(SpectrumConfig(**CONFIG, break_after=7)), 123, "SELECT 1")["framed"].endswith("< 7")
+
+
+def test_late_samples_are_used(spark):
+    """Batches beyond the millionth chunk reach the kernel."""
+    from pyspark.sql import functions as F
+
+    from specloom.operators.kernel import kernel_batches
+
+    g = geometry(SpectrumConfig(1.0, spectrum_size=9))
+    begin = 85_000_000 // g.chunk_points * g.chunk_points
+    n = begin + 11 * g.chunk_points
+    late = spark.range(begin, n).select(F.lit(0).alias("ch"), F.col("id").alias("t"), F.rand(1).alias("x"))
+    wanted = 2 * begin // g.chunk_points // g.config.m_var + 1
+    sums = kernel_batches(late.filter(F.col("t") >= (wanted * g.config.m_var // 2) * g.chunk_points), g, n, [2], [], True).filter(F.col("batch") == wanted)
+    assert sums.count() == len(g.bins)
