@@ -29,6 +29,8 @@ from specloom.llm.hashing import SPACES, mix, shingle_hashes, token_hashes
 WIDTH = 5
 #: Shingles of a task's sets that are packed at once; bits of a hash that are counted, enough to tell common from rare.
 COUNTED, RESOLUTION = 1 << 20, 40
+#: The largest sum by which leaders are ordered, so that it and a count fit into 64 bits; larger ones are equal.
+MOST_OWN = (1 << 31) - 1
 #: Values that a task gathers before it hands them on.
 HANDED = 1 << 18
 #: A shingle found in so many sets is common; the most common ones, about 8 MB, are told to all tasks.
@@ -185,7 +187,7 @@ def _blocks(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFram
                     at = np.flatnonzero(maybe[brief & low])
                     place = np.minimum(np.searchsorted(common, brief[at]), len(common) - 1)
                     often[at] = np.where(common[place] == brief[at], counts[place], 0)
-                own = int(1000 * (1 / np.maximum(often, 1)).sum())
+                own = min(int(1000 * (1 / np.maximum(often, 1)).sum()), MOST_OWN)
                 for k, found in block_keys(s, often):
                     parts = found // SALTED
                     keys.append(k.view(np.int64))

@@ -93,3 +93,10 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 10 for k in range(10, 61)}, 5: 5, 7: 5, 200: 5, 300: 300, 301: 300}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_very_large_set(spark):
+    """A text with over 2^31 / 1000 distinct shingles goes through, and links to its copy."""
+    text = " ".join(map(str, range(2_200_000)))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "another text that is short and no copy")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in N.jaccard_join(docs).collect()} == {1: 1, 2: 1, 3: 3}
