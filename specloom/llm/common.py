@@ -45,9 +45,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lower_ascii(column):
-    """Lower-case A-Z alone, whatever the locale or script of the rest."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Shares of a table's rows above which a key is hot: there are fewer hot keys than this, whatever the table.
+HOT_SHARES = 1000
+
+
+def split_hot(big: DataFrame, small: DataFrame, keys: list[str], spread) -> tuple[DataFrame, DataFrame]:
+    """Both tables with a column `salt`, so that a join on `keys` and `salt` deals the rows of a hot key of `big` to many tasks.
+
+    A key is hot if it has more than a HOT_SHARES-th of all rows; its rows are parted by the hash `spread`, and its row in
+    `small`, which should have one a key, is repeated for each part. The hot keys are fewer than that, so they are
+    broadcast. All other keys have the salt 0. Null keys join with nothing and stay where a left join leaves them.
+    """
+    counts = cut(big.groupBy(*keys).count(), "counts")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    least = max(1, total // HOT_SHARES)
+    hot = F.broadcast(counts.filter(F.col("count") > least).withColumn("parts", F.ceil(F.col("count") / least).cast("int")).drop("count"))
+    dealt = big.join(hot, keys, "left").withColumn("salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(spread, F.col("parts"))).cast("int")).drop("parts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))
+    return dealt, small.join(hot, keys, "left").withColumn("salt", copies).drop("parts")
 
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
