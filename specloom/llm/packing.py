@@ -1,10 +1,13 @@
 """Harmonic packing of token sequences.
 
-Lengths are partitioned into the classes C, C/2, C/4, ... 1 of a capacity C that is a power of two. A document is cut
-into whole blocks of C tokens and one piece for each binary digit of the rest, so that every piece has exactly its
-class's length C/k and a bin of class k is full with exactly k pieces: a fixed count, and no padding. Each worker fills
-its own bins, one open bin a class, without hearing of the others; what is open when its rows end goes into the
-fewest bins that hold it, longest piece first, so that a worker pads one sequence at most.
+Lengths are partitioned into reciprocal-capacity classes: class k holds the documents of more than C/(k+1) and at most C/k
+tokens, and a bin of class k is filled with exactly k of them, whole. Lengths of at most C/CLASSES tokens share the last
+class, whose bins take what fits. Each worker fills its own bins, one open bin a class, without hearing of the others.
+
+What k documents leave of a bin is filled as well, so that sequences aren't padded: by the next document that fits into it
+whole, the tightest such rest first, and once PENDING bins wait, by the beginning of a document that fits into none. So
+documents are cut only where they exceed C or fill a rest. When a worker's rows end, what is open goes into as few bins as
+hold it, and one sequence of the worker is padded at most.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import json
 import re
 import zlib
 from array import array
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +31,8 @@ SCHEMA = (
     "harmonic_class int"
 )
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+#: Classes of lengths, and bins that wait for their rest to be filled.
+CLASSES, PENDING = 64, 64
 #: Words that a worker keeps the ids of; beyond it the memory is emptied.
 MEMO_WORDS = 700_000
 #: Words that are one piece of Latin letters, alone or before one piece of marks, for a tokenizer that parts letters and marks.
@@ -122,48 +128,112 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def class_lengths(n: int, capacity: int) -> list[int]:
-    """The lengths of the pieces that n tokens are cut into, in text order: whole blocks, then the binary digits of the rest."""
-    blocks, rest = divmod(n, capacity)
-    return [capacity] * blocks + [1 << k for k in range(capacity.bit_length() - 2, -1, -1) if rest >> k & 1]
+Piece = tuple[int, int, memoryview, int]  # doc_id, start, ids, doc_tokens
 
 
 class HarmonicBins:
-    """The bins of one worker. `add` takes a piece and gives back pieces that are placed; `close` places the rest."""
-
-    def __init__(self, capacity: int, worker: int):
-        self.capacity, self.next_id = capacity, worker << 36
-        self.open: dict[int, list[tuple]] = {}
-
-    def _place(self, pieces: list[tuple]) -> list[tuple]:
-        placed, at = [], 0
-        for piece in pieces:
-            placed.append((*piece, self.next_id, at))
-            at += piece[2]
+    """The bins of one worker. `add` takes a document and gives back the rows of the sequences that it completes; `close` gives
+    those of the rest. Memory: the ids of an open bin for each class, and of the bins that wait."""
+
+    def __init__(self, capacity: int, worker: int, classes: int = CLASSES, pending: int = PENDING):
+        self.capacity, self.next_id, self.classes, self.most = capacity, worker << 36, classes, pending
+        self.open: dict[int, list[Piece]] = {}
+        self.used: dict[int, int] = {}
+        self.waiting: list[tuple[int, int]] = []  # (rest, bin), by rest
+        self.bins: dict[int, tuple[int, list[Piece]]] = {}
+        self.n_bins = 0
+
+    def class_of(self, length: int) -> int:
+        return min(self.capacity // length, self.classes)
+
+    def _placed(self, k: int, pieces: list[Piece]) -> list[tuple]:
+        rows, at = [], 0
+        for doc_id, start, ids, doc_tokens in pieces:
+            length = len(ids) // 4
+            rows.append((doc_id, start, length, zlib.crc32(ids), doc_tokens, self.next_id, at, k))
+            at += length
         self.next_id += 1
-        return placed
-
-    def add(self, piece: tuple) -> list[tuple]:
-        """piece: doc_id, start, length, crc, doc_tokens."""
-        length = piece[2]
-        pieces = self.open.setdefault(length, [])
+        return rows
+
+    def _filled(self, k: int, pieces: list[Piece], rest: int) -> list[tuple]:
+        """A bin's rows if it is full; else it waits."""
+        if not rest:
+            return self._placed(k, pieces)
+        self.bins[self.n_bins] = (k, pieces)
+        insort(self.waiting, (rest, self.n_bins))
+        self.n_bins += 1
+        return []
+
+    def _fill(self, place: int, piece: Piece) -> list[tuple]:
+        """Put a piece into the rest of a waiting bin that holds it."""
+        rest, number = self.waiting.pop(place)
+        k, pieces = self.bins.pop(number)
+        return self._filled(k, [*pieces, piece], rest - len(piece[2]) // 4)
+
+    def add(self, doc_id: int, ids: bytes) -> list[tuple]:
+        n, at, rows, view = len(ids) // 4, 0, [], memoryview(ids)
+        while n - at >= self.capacity:
+            rows += self._placed(1, [(doc_id, at, view[4 * at : 4 * (at + self.capacity)], n)])
+            at += self.capacity
+        while at < n:
+            place = bisect_left(self.waiting, (n - at, -1))
+            if place < len(self.waiting):
+                return rows + self._fill(place, (doc_id, at, view[4 * at :], n))
+            if len(self.waiting) < self.most:
+                return rows + self._join((doc_id, at, view[4 * at :], n))
+            cut = at + self.waiting[0][0]  # the least rest is the hardest to fill
+            rows += self._fill(0, (doc_id, at, view[4 * at : 4 * cut], n))
+            at = cut
+        return rows
+
+    def _join(self, piece: Piece) -> list[tuple]:
+        """Put a piece into the open bin of its class."""
+        length, rows = len(piece[2]) // 4, []
+        k = self.class_of(length)
+        pieces, used = self.open.setdefault(k, []), self.used.get(k, 0)
+        if used + length > self.capacity:  # in the last class alone
+            rows, pieces, used = self._filled(k, pieces, self.capacity - used), [], 0
         pieces.append(piece)
-        if len(pieces) * length < self.capacity:
-            return []
-        self.open[length] = []
-        return self._place(pieces)
+        self.open[k], self.used[k] = pieces, used + length
+        if len(pieces) == k < self.classes or self.used[k] == self.capacity:
+            rows += self._filled(k, pieces, self.capacity - self.used[k])
+            self.open[k], self.used[k] = [], 0
+        return rows
 
     def close(self) -> list[tuple]:
-        rest = [p for length in sorted(self.open, reverse=True) for p in self.open[length]]
-        placed, bin_, used = [], [], 0
-        for piece in rest:  # each length divides the room that the longer ones leave, so a bin fills without a gap
-            bin_.append(piece)
-            used += piece[2]
-            if used == self.capacity:
-                placed += self._place(bin_)
-                bin_, used = [], 0
-        self.open = {}
-        return placed + (self._place(bin_) if bin_ else [])
+        """The rows of all that is open: rests of waiting bins are filled by what is in open ones, the fullest first; where
+        that isn't enough, bins with large rests are taken apart."""
+        size = lambda piece: len(piece[2]) // 4
+        loose = [p for pieces in self.open.values() for p in pieces]
+        self.open, self.used = {}, {}
+        while sum(rest for rest, _ in self.waiting) > sum(map(size, loose)):
+            _, number = self.waiting.pop()
+            loose += self.bins.pop(number)[1]
+        rows, kept = [], []
+        for piece in sorted(loose, key=size, reverse=True):
+            place = bisect_left(self.waiting, (size(piece), -1))
+            if place < len(self.waiting):
+                rows += self._fill(place, piece)
+            else:
+                kept.append(piece)
+        k, pieces, rest = self.classes, [], self.capacity
+        if self.waiting:
+            rest, number = self.waiting.pop()
+            k, pieces = self.bins.pop(number)
+        while kept:
+            doc_id, start, ids, n = kept.pop()
+            fits = min(rest, len(ids) // 4)
+            pieces = [*pieces, (doc_id, start, ids[: 4 * fits], n)]
+            rest -= fits
+            if 4 * fits < len(ids):
+                kept.append((doc_id, start + fits, ids[4 * fits :], n))
+            if not rest:
+                rows += self._placed(k, pieces)
+                k, pieces, rest = self.classes, [], self.capacity
+                if self.waiting:
+                    rest, number = self.waiting.pop()
+                    k, pieces = self.bins.pop(number)
+        return rows + (self._placed(k, pieces) if pieces else [])
 
 
 def harmonic_pack(
@@ -173,10 +243,10 @@ def harmonic_pack(
 
     A document's tokens are its ids by the vocabulary file, then `end_id`; a null or empty text is the one token
     `end_id`. Returns a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and
-    harmonic_class, the count of pieces that a bin of its class holds. Repeated rows are packed as often as they occur;
+    harmonic_class, the count of documents that its bin was filled with before its rest was (CLASSES or more in the last class). Repeated rows are packed as often as they occur;
     a null doc_id stays null; an empty table gives none; columns besides doc_id and text don't matter. The ids of a
     sequence follow from the input's partitions alone, so a repeated task gives the same rows. Memory: the open bins
-    (fewer than capacity pieces a class), a batch of rows and MEMO_WORDS words.
+    of the classes and the waiting ones, a batch of rows and MEMO_WORDS words.
     """
     if capacity < 2 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
@@ -188,18 +258,13 @@ def harmonic_pack(
         end = end_id.to_bytes(4, "little")
 
         def frame(rows: list[tuple]) -> pa.RecordBatch:
-            columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
-            classes = pa.array([capacity // row[2] for row in rows], pa.int32())
-            return pa.RecordBatch.from_arrays([*columns, classes], NAMES)
+            types = [pa.int64()] * 7 + [pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], NAMES)
 
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encode(text) + end
-                n, at = len(ids) // 4, 0
-                for length in class_lengths(n, capacity):
-                    rows += bins.add((doc_id, at, length, zlib.crc32(memoryview(ids)[4 * at : 4 * (at + length)]), n))
-                    at += length
+                rows += bins.add(doc_id, encode(text) + end)
             if rows:
                 yield frame(rows)
         if rows := bins.close():
