@@ -59,18 +59,28 @@ JACCARD_JOIN_SQL = rf"""
     FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN (SELECT a, min(b) AS least FROM reached GROUP BY a) m ON w.doc_id = m.a"""
 
 TOOL_CALLS_SQL = """
-        WITH c AS (SELECT conv_id, turn, role, text, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind FROM conversations),
+        WITH RECURSIVE c AS (
+            SELECT conv_id, turn, role, text, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+                role = 'user' AND contains(text, chr(10)) AS waits FROM conversations),
         results AS (SELECT conv_id, turn - 1 AS id FROM c WHERE kind = 'result'), calls AS (SELECT conv_id, turn AS id FROM c WHERE kind = 'call'),
+        ways AS (
+            SELECT conv_id, turn AS id, turn AS last, 0 AS links FROM c WHERE kind = 'call'
+            UNION ALL SELECT w.conv_id, w.id, w.last + 2, w.links + 1 FROM ways w
+            JOIN c ON w.conv_id = c.conv_id AND w.last = c.turn AND c.waits JOIN results r ON w.conv_id = r.conv_id AND w.last + 2 = r.id),
+        longest AS (SELECT conv_id, id, max(last) AS last, max(links) AS links FROM ways GROUP BY conv_id, id),
         linked AS (
-            SELECT c.*, r.id IS NOT NULL AS answered, k.id IS NOT NULL AS called, b.id IS NOT NULL AS before
+            SELECT c.*, r.id IS NOT NULL AS answered, k.id IS NOT NULL AS called, b.id IS NOT NULL AS ready, coalesce(l.links, 0) AS links, l.last
             FROM c LEFT JOIN results r ON c.conv_id = r.conv_id AND c.turn = r.id
-            LEFT JOIN calls k ON c.conv_id = k.conv_id AND c.turn - 1 = k.id LEFT JOIN results b ON c.conv_id = b.conv_id AND c.turn - 2 = b.id)
+            LEFT JOIN calls k ON c.conv_id = k.conv_id AND c.turn - 1 = k.id LEFT JOIN results b ON c.conv_id = b.conv_id AND c.turn + 2 = b.id
+            LEFT JOIN longest l ON c.conv_id = l.conv_id AND l.id = CASE c.kind WHEN 'call' THEN c.turn WHEN 'result' THEN c.turn - 1 END)
         SELECT conv_id, turn, kind, CAST(CASE kind WHEN 'call' THEN turn WHEN 'result' THEN turn - 1 END AS VARCHAR) AS call_id,
             CASE WHEN kind = 'message' THEN 'message' WHEN kind = 'call' THEN CASE WHEN answered THEN 'linked' ELSE 'no_result' END
                 WHEN called THEN 'linked' ELSE 'no_call' END AS status,
-            CASE WHEN kind = 'call' THEN concat_ws(',', CASE WHEN text = '' THEN 'content: minLength' END,
-                CASE WHEN turn >= 2 AND NOT before THEN 'after: ' || (turn - 2) END) ELSE '' END AS errors,
-            turn AS ready_turn, CAST(0 AS BIGINT) AS depth,
+            CASE WHEN kind = 'call' THEN concat_ws(',', CASE WHEN length(text) > 400 THEN 'content: maxLength' END, CASE WHEN text = '' THEN 'content: minLength' END,
+                CASE WHEN text IS NULL THEN 'content: required' END, CASE WHEN turn > 5 THEN 'turn: maximum' END,
+                CASE WHEN waits AND NOT ready THEN 'after: ' || (turn + 2) END) ELSE '' END AS errors,
+            CAST(CASE WHEN links > 0 THEN last + 1 ELSE turn END AS BIGINT) AS ready_turn,
+            CAST(CASE WHEN links = 0 THEN 0 WHEN kind = 'call' THEN 2 * links - 1 ELSE 2 * links END AS BIGINT) AS depth,
             CASE kind WHEN 'call' THEN '{"arguments":{"content":' || to_json(text) || ',"turn":' || turn || '},"id":"' || turn || '","kind":"call","name":"reply","role":"user"}'
                 WHEN 'result' THEN '{"content":' || to_json(text) || ',"id":"' || (turn - 1) || '","kind":"result","role":"assistant"}'
                 ELSE '{"content":' || to_json(text) || ',"kind":"message","role":"' || role || '"}' END AS json
