@@ -27,7 +27,8 @@ class SpectrumConfig:
     """How spectra are estimated. dt: sampling interval; f_max: by default Nyquist; f_min below 0 asks for signed frequencies,
     which have no order 3; spectrum_size sets the window length; m: windows of a chunk; m_var: chunks of an error batch;
     break_after: chunks used for a key at most, by default all; method: 'kernel', an FFT in Arrow groups,
-    'relational', joins and aggregations alone, or 'auto', the faster, which is the kernel at all lengths that were measured."""
+    'relational', joins and aggregations alone, or 'auto', the faster, which is the kernel at all lengths that were measured;
+    fit_m: whether chunks of fewer windows may be taken, with a warning, where the signal is too short for m."""
 
     dt: float
     f_unit: str = "Hz"
@@ -40,6 +41,7 @@ class SpectrumConfig:
     m_var: int = 10
     break_after: int | None = None
     method: str = "auto"
+    fit_m: bool = False
 
     def __post_init__(self) -> None:
         if not isinstance(self.dt, float) or self.dt <= 0:
@@ -66,6 +68,8 @@ class SpectrumConfig:
             raise InvalidConfigError("m_var must be 2 or more")
         if self.method not in ("auto", "relational", "kernel"):
             raise InvalidConfigError("method must be 'auto', 'relational' or 'kernel'")
+        if not isinstance(self.fit_m, bool):
+            raise InvalidConfigError("fit_m must be a bool")
 
     def orders(self) -> list[int]:
         """The orders of auto spectra: with signed frequencies, not the third."""
@@ -73,6 +77,25 @@ class SpectrumConfig:
         return [n for n in wanted if n != 3 or self.f_min >= 0]
 
 
+@dataclass(frozen=True)
+class Dataset:
+    """Where a channel's samples are: a file, the group in it if they are in one, and the name of the dataset. dt: the sampling
+    interval, if the file doesn't say."""
+
+    path: str
+    dataset: str
+    group: str | None = None
+    dt: float | None = None
+
+    def __post_init__(self) -> None:
+        if not isinstance(self.path, str) or not isinstance(self.dataset, str) or not self.path or not self.dataset:
+            raise InvalidConfigError("a path and the name of a dataset are needed")
+        if self.group is not None and not isinstance(self.group, str):
+            raise InvalidConfigError("group must be a name")
+        if self.dt is not None and (not isinstance(self.dt, float) or self.dt <= 0):
+            raise InvalidConfigError("dt must be a positive float")
+
+
 @dataclass(frozen=True)
 class CrossConfig:
     """Which spectra: auto_corr for single channels, and tuples of channels for cross spectra of order 2, 3 and 4."""

@@ -51,7 +51,8 @@ def spectra(signal: DataFrame, config: SpectrumConfig, cross: CrossConfig | None
     wanted = channels if selected is None else list(dict.fromkeys(selected))
     if not set(wanted) <= set(channels):
         raise InvalidConfigError(f"selected channels {wanted} aren't all among {channels}")
-    g, orders, keys = geometry(config), config.orders() if cross.auto_corr else [], cross.keys(wanted)
+    orders, keys = config.orders() if cross.auto_corr else [], cross.keys(wanted)
+    g = geometry(config).fitted(n, orders, keys)
     g.check(n, orders, keys)
     if not orders and not keys:
         raise InvalidConfigError("no spectrum is asked for")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import warnings
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
@@ -58,13 +59,16 @@ class Geometry:
     def norm(self, order: int) -> float:
         return float(self.config.dt * np.sum(self.weights**order))
 
-    def twiddles(self, bins: list[int]) -> list[tuple[int, int, float, float]]:
-        """(p, k, c, d): weight times cos and -sin, times dt, so that the sums of x c and x d are a coefficient."""
-        p, k = np.arange(self.n), np.array(bins)
-        angle = 2 * np.pi * ((p[:, None] * k[None, :]) % self.n) / self.n
-        scaled = self.weights[:, None] * self.config.dt
-        c, d = scaled * np.cos(angle), -scaled * np.sin(angle)
-        return [(int(a), int(b), float(c[a, j]), float(d[a, j])) for a in p for j, b in enumerate(bins)]
+    def fitted(self, samples: int, orders: list[int], cross: list[tuple[int, ...]]) -> Geometry:
+        """This geometry, or if the settings allow it and the samples are too few, that of the most windows a chunk for which
+        they suffice; a warning says so. Where no number of windows does, this one, which check() rejects."""
+        needed = max([*orders, *map(len, cross), 2])
+        for m in range(self.m, needed - 1, -1) if self.config.fit_m else []:
+            if samples // (self.n * m + self.h) >= 2:
+                if m < self.m:
+                    warnings.warn(f"{samples} samples are too few for chunks of {self.m} windows; they have {m}", stacklevel=3)
+                return replace(self, config=replace(self.config, m=m))
+        return self
 
     def check(self, samples: int, orders: list[int], cross: list[tuple[int, ...]]) -> None:
         """Raise where the reference estimators have no value: too few windows, chunks or samples."""

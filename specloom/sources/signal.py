@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.config import InvalidConfigError
+from specloom.config import Dataset, InvalidConfigError
 
 SCHEMA = "ch int, t long, x double"
+#: Samples that a task reads from a file at once.
+SLICE = 1 << 20
 
 
 def from_columns(table: DataFrame, index: str, channels: list) -> DataFrame:
@@ -33,17 +37,48 @@ def from_npz(spark: SparkSession, path: str, names: list[str], limit: int | None
         return from_arrays(spark, [file[name][:limit] for name in names])
 
 
-def from_hdf5(spark: SparkSession, paths: list[tuple[str, str | None, str]]) -> DataFrame:
-    """A signal of HDF5 datasets, (path, group or None, dataset) for each channel; needs h5py, which is optional."""
+def _hdf5():
     try:
         import h5py
     except ImportError as missing:
         raise InvalidConfigError("reading HDF5 needs h5py; parquet needs nothing more") from missing
-    arrays = []
-    for path, group, dataset in paths:
-        with h5py.File(path, "r") as file:
-            arrays.append((file[group] if group else file)[dataset][()])
-    return from_arrays(spark, arrays)
+    return h5py
+
+
+def from_hdf5(spark: SparkSession, sources: list[Dataset]) -> tuple[DataFrame, float | None]:
+    """A signal of HDF5 datasets, one for each channel, and the sampling interval that they state; needs h5py, which is optional.
+
+    The driver reads lengths and the attribute dt alone; samples are read by tasks, SLICE at a time, so the files have to
+    be where executors find them. dt is a dataset's attribute, else what its description says; None where neither does.
+    Different intervals are an error.
+    """
+    h5py, slices, stated = _hdf5(), [], set()
+    for ch, source in enumerate(sources):
+        with h5py.File(source.path, "r") as file:
+            found = (file[source.group] if source.group else file)[source.dataset]
+            n, dt = int(np.prod(found.shape)), found.attrs.get("dt", source.dt)
+            if len(found.shape) != 1 and n != max(found.shape, default=0):
+                raise InvalidConfigError(f"dataset {source.dataset} has more than one dimension")
+        if dt is not None:
+            stated.add(float(dt))
+        slices += [(ch, source.path, source.group, source.dataset, k, min(n, k + SLICE)) for k in range(0, n, SLICE)]
+    if len(stated) > 1:
+        raise InvalidConfigError(f"the datasets have different sampling intervals: {sorted(stated)}")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h5py = _hdf5()
+        for batch in batches:
+            for row in batch.to_pylist():
+                with h5py.File(row["path"], "r") as file:
+                    found = (file[row["group"]] if row["group"] else file)[row["dataset"]]
+                    at = slice(row["begin"], row["end"])
+                    x = found[at] if len(found.shape) < 2 else found[tuple(at if n > 1 else 0 for n in found.shape)]
+                columns = [np.full(row["end"] - row["begin"], row["ch"], np.int32), np.arange(row["begin"], row["end"]), np.asarray(x, float).ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["ch", "t", "x"])
+
+    table = spark.createDataFrame(slices, "ch int, path string, group string, dataset string, begin long, end long")
+    signal = table.repartition(max(1, len(slices)), "ch", "begin").mapInArrow(read, SCHEMA)
+    return signal, next(iter(stated), None)
 
 
 def events_signal(spark: SparkSession, sf_dir: str, channels: tuple[int, ...] = (0, 1)) -> DataFrame:

@@ -93,3 +93,19 @@ def test_late_samples_are_used(spark):
     wanted = 2 * begin // g.chunk_points // g.config.m_var + 1
     sums = kernel_batches(late.filter(F.col("t") >= (wanted * g.config.m_var // 2) * g.chunk_points), g, n, [2], [], True).filter(F.col("batch") == wanted)
     assert sums.count() == len(g.bins)
+
+
+def test_shorter_chunks_for_short_signals(spark):
+    """With fit_m a signal too short for m windows a chunk has shorter chunks, and a warning; without it is rejected."""
+    from specloom.operators.spectra import spectra
+    from specloom.sources.signal import from_arrays
+
+    signal = from_arrays(spark, [np.arange(200.0) % 7])
+    with pytest.raises(InvalidConfigError):
+        spectra(signal, SpectrumConfig(1.0, spectrum_size=9))
+    with pytest.warns(UserWarning, match="windows"):
+        rows = spectra(signal, SpectrumConfig(1.0, spectrum_size=9, order_in=[2], fit_m=True))
+    shorter = spectra(signal, SpectrumConfig(1.0, spectrum_size=9, order_in=[2], m=5))
+    assert rows.sort("i").collect() == shorter.sort("i").collect()
+    g = geometry(SpectrumConfig(1.0, spectrum_size=9, fit_m=True))
+    assert g.fitted(10_000, [4], []).m == 10 and g.fitted(100, [4], []).m == 10  # 100 samples are too few for any
