@@ -1,4 +1,5 @@
-"""Batch sums of single spectra by an FFT kernel in Arrow groups: one group for each error batch of chunks.
+"""Batch sums of single spectra by an FFT kernel in Arrow groups: one group for each error batch of chunks, and for each channel
+where no cross spectra are asked for.
 
 A batch is all that the mean over chunks and the error need together, so a group leaves as one row for each bin, whatever
 the number of chunks. A sample belongs to the batches of its frame and of its shifted frame, one or two.
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from specloom.plans.geometry import Geometry
 
+#: Numbers of a block of rows of order 3, 16 MB.
+BLOCK = 1 << 20
 BATCHES = "key string, ord int, i int, j int, batch long, n long, sum_re double, sum_im double, var_re double, var_im double"
 
 
@@ -68,8 +71,10 @@ def single_spectra(found: dict[int, np.ndarray], g: Geometry, orders: list[int],
         elif order == 2:
             value = second(at(a[0], band, g), at(a[1], band, g))
         elif order == 3:
-            sums = rows[:, None] + columns[None, :]
-            value = third(at(a[0], columns, g), at(a[1], rows, g), at(a[2], sums, g).conj())
+            step = max(1, BLOCK // (g.m * max(1, len(columns))))
+            first = at(a[0], columns, g)
+            parts = [third(first, at(a[1], r, g), at(a[2], r[:, None] + columns, g).conj()) for r in (rows[k : k + step] for k in range(0, len(rows), step))]
+            value = np.concatenate(parts) if parts else np.empty((0, len(columns)), complex)
         else:
             value = fourth(*(at(x, band, g) for x in a))
         return value.conj() / g.norm(order)
@@ -95,8 +100,7 @@ def kernel_batches(signal: DataFrame, g: Geometry, n: int, orders: list[int], cr
     frame = lambda x: F.floor(x / points)
     batches = F.array_distinct(F.array_compact(F.array(batch_of(2 * frame(t)), F.when(t >= h, batch_of(2 * frame(t - h) + 1)))))
     rows = signal.select(F.explode(batches).alias("batch"), "ch", "t", "x")
-    i2, j2 = np.array(g.bins, int), np.zeros(0, int)
-    del j2
+    i2 = np.array(g.bins, int)
     axes = {
         1: (np.zeros(1, int), np.full(1, -1)),
         2: (i2, np.full(len(i2), -1)),
@@ -134,4 +138,4 @@ def kernel_batches(signal: DataFrame, g: Geometry, n: int, orders: list[int], cr
             parts.append(pa.Table.from_arrays(columns, [c.split()[0] for c in BATCHES.split(", ")]))
         return pa.concat_tables(parts)
 
-    return rows.groupBy("batch").applyInArrow(kernel, BATCHES)
+    return rows.groupBy("batch", *([] if cross else ["ch"])).applyInArrow(kernel, BATCHES)

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+
+from specloom.functions.taper import SIGMA
 from specloom.plans.geometry import Geometry
 
 
@@ -48,18 +51,36 @@ def means(values: dict[str, Complex]) -> str:
     return ", ".join(f"avg({v.re}) AS {name}re, avg({v.im}) AS {name}im" for name, v in values.items())
 
 
+def twiddles_sql(g: Geometry) -> str:
+    """(p, k, c, d): the taper's weight at p times cos and -sin for bin k, times dt, so that the sums of x c and x d are a
+    coefficient. All rows come from one range, so the text is as long for any window."""
+    n, bins, dt = g.n, g.transform_bins, g.config.dt
+    width = number(2 * (n + 1) * SIGMA)
+    bell = lambda x: f"exp(-(({x} - {number(n / 2)}) / {width}) * (({x} - {number(n / 2)}) / {width}))"
+    plain = lambda x: np.exp(-(((x - n / 2) / (2 * (n + 1) * SIGMA)) ** 2))
+    edge = float(plain(-0.5) / (plain(n + 0.5) + plain(-n - 1.5)))
+    grid = f"(p * {number(n)} / {number(max(n - 1, 1))})"
+    raw = f"{bell(grid)} - {number(edge)} * ({bell(f'({grid} + {number(n + 1)})')} + {bell(f'({grid} - {number(n + 1)})')})"
+    line = np.linspace(0, n, n)
+    power = np.sum((plain(line) - edge * (plain(line + n + 1) + plain(line - n - 1))) ** 2)
+    scale, turn = number(dt / np.sqrt(power * dt)), number(2 * np.pi / n)
+    return (
+        f"SELECT p, k, {scale} * w * cos({turn} * ((p * k) % {n})) AS c, -{scale} * w * sin({turn} * ((p * k) % {n})) AS d FROM (SELECT p, k, {raw} AS w FROM "
+        f"(SELECT CAST(floor(id / {len(bins)}) AS BIGINT) AS p, id % {len(bins)} + ({bins[0]}) AS k FROM range({n * len(bins)}) AS r(id)) u) v"
+    )
+
+
 def base(g: Geometry, n: int, signal: str) -> dict[str, str]:
     """The common tables: signal, framed samples, twiddles and coefficients aw; awm also has the bins below 0."""
-    points, bins = g.chunk_points, g.transform_bins
+    points = g.chunk_points
     chunk = f"(2 * floor((t - s) / {points}) + CASE WHEN s > 0 THEN 1 ELSE 0 END)"
     cap = "" if g.config.break_after is None else f" AND {chunk} < {g.config.break_after}"
-    rows = ", ".join(f"({p}, {k}, {number(c)}, {number(d)})" for p, k, c, d in g.twiddles(bins))
     tables = {
         "signal": signal,
         "shifted": f"SELECT ch, t, x, 0 AS s FROM signal UNION ALL SELECT ch, t, x, {g.h} AS s FROM signal WHERE t >= {g.h}",
         "framed": f"SELECT ch, s, CAST(floor((t - s) / {points}) AS BIGINT) AS fr, CAST(floor(((t - s) % {points}) / {g.n}) AS BIGINT) AS wi, "
         f"CAST((t - s) % {g.n} AS INT) AS p, x FROM shifted WHERE floor((t - s) / {points}) * {points} + {points} + s <= {n}{cap}",
-        "tw": f"SELECT * FROM (VALUES {rows}) AS v(p, k, c, d)",
+        "tw": twiddles_sql(g),
         "aw": "SELECT ch, fr, s, wi, k, sum(x * c) AS re, sum(x * d) AS im FROM framed JOIN tw ON framed.p = tw.p GROUP BY ch, fr, s, wi, k",
     }
     if not g.full:
@@ -123,7 +144,8 @@ ORDERS = {1: order1, 2: order2, 3: order3, 4: order4}
 
 
 def with_tables(tables: dict[str, str], body: str) -> str:
-    return "WITH " + ", ".join(f"{name} AS ({text})" for name, text in tables.items()) + f" {body}"
+    """`body`, which may begin with tables of its own, over `tables`."""
+    return "WITH " + ", ".join(f"{name} AS ({text})" for name, text in tables.items()) + (f", {body[5:]}" if body.startswith("WITH ") else f" {body}")
 
 
 def wanted(orders: list[int], cross: list[tuple[int, ...]], channels: list[int], auto: bool) -> list[tuple[str, int, tuple[int, ...]]]:

@@ -7,12 +7,13 @@ near 1 and six decimals are the same in every engine. dt is 1 and a window has 1
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.config import CrossConfig, SpectrumConfig
+from specloom.config import CrossConfig, InvalidConfigError, SpectrumConfig, ViewConfig
 from specloom.operators import views
 from specloom.operators.spectra import spectra
 from specloom.plans import relational as R
@@ -138,6 +139,13 @@ def _relational(name: str, settings: dict, body: str) -> None:
 
 _relational("window_assign", CONFIG, "SELECT ch, fr, s, wi, count(*) AS n FROM framed GROUP BY ch, fr, s, wi")
 _relational("chunk_count", CONFIG, "SELECT ch, count(DISTINCT fr * 1000 + s) AS n_chunks FROM framed GROUP BY ch")
+# The same from the number of samples alone: a chunk of 160 points begins at each 160th sample and 8 after it, if it ends in time.
+_CHUNKS = (
+    "WITH c AS (SELECT ch, fr, s FROM (VALUES (0), (1)) AS a(ch), (VALUES (0), (8)) AS b(s), "
+    "(SELECT CAST(range AS BIGINT) AS fr FROM range((SELECT count(*) // 160 FROM events))) f WHERE fr * 160 + s + 160 <= (SELECT count(*) FROM events)) "
+)
+ORACLE_SQL["window_assign"] = _CHUNKS + "SELECT ch, fr, s, wi, CAST(16 AS BIGINT) AS n FROM c, (SELECT CAST(range AS BIGINT) AS wi FROM range(10)) w"
+ORACLE_SQL["chunk_count"] = _CHUNKS + "SELECT ch, count(*) AS n_chunks FROM c GROUP BY ch"
 for _name, _settings, _table in (("dft_coeffs", CONFIG, "aw"), ("dft_coeffs_full", FULL, "aw"), ("dft_mirror", CONFIG, "awm")):
     _relational(_name, _settings, f"SELECT ch, fr, s, wi, k, {rounded_sql('re', 'im')} FROM {_table}")
 
@@ -184,8 +192,11 @@ add(
 )
 
 
-def add_view(name: str, settings: dict, make: Callable[[DataFrame], DataFrame], columns: list, body: str) -> None:
-    add(name, lambda spark, sf_dir: make(_spectrum(settings, {}, spark, sf_dir)).selectExpr(*columns), _sql(settings, {}, body))
+def add_view(name: str, settings: dict, make: Callable[[DataFrame], DataFrame], columns: list, body: str, cross: dict | None = None) -> None:
+    """A query of a view of finished spectra; `body` may begin with its own tables."""
+    cross = cross or {}
+    sql = _sql(settings, cross, body)
+    add(name, lambda spark, sf_dir: make(_spectrum(settings, cross, spark, sf_dir)).selectExpr(*columns), sql)
 
 
 add_view(
@@ -213,10 +224,81 @@ add_view(
 )
 
 
+# The complex arcsinh: of z = scale * (re, im), sign * ln |w| and sign * arg w for w = z + sqrt(z^2 + 1), taken at re >= 0.
+add_view(
+    "s2_cross_arcsinh", only(2, CONFIG), lambda s: views.arcsinh(s, 0.02), ["key_str", "i", *rounded("re", "im")],
+    "WITH k AS (SELECT s.*, 1e0 / (max(sqrt(re * re + im * im)) OVER (PARTITION BY key_str) * 0.02e0) AS k FROM s), "
+    "z AS (SELECT *, CASE WHEN re < 0 THEN -1e0 ELSE 1e0 END AS sg FROM k), a AS (SELECT *, re * k * sg AS x, im * k * sg AS y FROM z), "
+    "q AS (SELECT *, x * x - y * y + 1e0 AS u, 2e0 * x * y AS v FROM a), "
+    "w AS (SELECT *, x + sqrt(greatest((sqrt(u * u + v * v) + u) / 2e0, 0e0)) AS wr, "
+    "y + sqrt(greatest((sqrt(u * u + v * v) - u) / 2e0, 0e0)) * CASE WHEN v < 0 THEN -1e0 ELSE 1e0 END AS wi FROM q) "
+    "SELECT key_str, i, round(sg * ln(sqrt(wr * wr + wi * wi)) / k, 6) + 0e0 AS re, round(sg * atan2(wi, wr) / k, 6) + 0e0 AS im FROM w",
+    dict(auto_corr=False, cross_corr_2=CROSS2),
+)
+add_view(
+    "s2_display", only(2, CONFIG), lambda s: views.display(s, ViewConfig(0.1, 0.4, [2], significance=2))["s2"], ["key_str", "i", "q", *rounded("re", "upper_re", "lower_im")],
+    "SELECT key_str, i, q, round(re, 6) + 0e0 AS re, round(re + q * err_re, 6) + 0e0 AS upper_re, round(im - q * err_im, 6) + 0e0 AS lower_im "
+    "FROM s CROSS JOIN (VALUES (1), (2)) AS v(q) WHERE err_re IS NOT NULL AND i / 16e0 BETWEEN 0.1e0 AND 0.4e0",
+)
+for _n, _limit, _settings in ((3, 0.4, HALF), (4, 0.3, FULL)):
+    _low = -_limit if _n == 4 else -0.2
+    _half = 2 if _n == 3 else 1
+    add_view(
+        f"s{_n}_display", only(_n, _settings), lambda s, n=_n, low=_low, high=_limit: views.display(s, ViewConfig(low, high, [n]))[f"s{n}"], ["key_str", "i", "j", *rounded("re", "im"), "masked_re AS masked"],
+        f"SELECT key_str, i, j, round(re, 6) + 0e0 AS re, round(im, 6) + 0e0 AS im, CASE WHEN abs(re) < err_re THEN 1 ELSE 0 END AS masked FROM s "
+        f"WHERE j / 16e0 BETWEEN {R.number(_low / _half)} AND {R.number(_limit / _half)} AND i / 16e0 BETWEEN {R.number(0 if _n == 3 else _low)} AND {R.number(_limit / _half)}",
+    )
+# Where an imaginary part is 0 but for rounding, so is its error, and which is larger says nothing.
+add_view(
+    "s4_mask_im", only(4, CONFIG), lambda s: views.mask(s, 1).filter("err_im > 1e-6"), ["key_str", "i", "j", "masked_im AS masked"],
+    "SELECT key_str, i, j, CASE WHEN abs(im) < err_im THEN 1 ELSE 0 END AS masked FROM s WHERE err_im > 1e-6",
+    dict(auto_corr=False, cross_corr_4=[(0, 1, 0, 1)]),
+)
+add_view(
+    "map_limits_im", only(4, CONFIG), lambda s: views.map_limits(s).withColumn("key_str", F.array_join("key", ",")), ["key_str", "ord", *rounded("limit_re", "limit_im")],
+    "SELECT key_str, ord, round(max(abs(re)), 6) + 0e0 AS limit_re, round(max(abs(im)), 6) + 0e0 AS limit_im FROM s GROUP BY key_str, ord",
+    dict(auto_corr=False, cross_corr_4=[(0, 1, 0, 1)]),
+)
+add_view(
+    "order_fetch", CONFIG, lambda s: views.of_order(s, 2, [(0, 1), (1,)]), ["key_str", "i", *rounded("re")],
+    "SELECT key_str, i, round(re, 6) + 0e0 AS re FROM s WHERE ord = 2 AND key_str IN ('0,1', '1')",
+    dict(cross_corr_2=CROSS2),
+)
+# Signed frequencies have no order 3: which orders are left, and of how many bins.
+add_view(
+    "orders_signed", FULL, lambda s: s.groupBy("ord").agg(F.count("*").alias("n_rows")), ["ord", "n_rows"],
+    "SELECT ord, n_rows FROM (VALUES (1, CAST(2 AS BIGINT)), (2, 32), (4, 512)) AS v(ord, n_rows) WHERE EXISTS (SELECT 1 FROM s)",
+)
+
+
+def rejected_keys(spark: SparkSession, _: str) -> DataFrame:
+    """Which cross keys name a channel that isn't selected, and are rejected."""
+
+    def rejected(key: tuple[int, ...]) -> bool:
+        try:
+            CrossConfig(**{f"cross_corr_{len(key)}": [key]}).keys([0, 1])
+        except InvalidConfigError:
+            return True
+        return False
+
+    keys = [(0, 1), (0, 2), (1, 1, 0), (2, 1, 0), (0, 1, 0, 1), (0, 1, 0, 3)]
+    return spark.createDataFrame([(",".join(map(str, k)), rejected(k)) for k in keys], "key_str string, rejected boolean")
+
+
+add(
+    "cross_key_check", rejected_keys,
+    "SELECT key_str, list_max(CAST(string_split(key_str, ',') AS INT[])) > 1 AS rejected FROM (VALUES ('0,1'), ('0,2'), ('1,1,0'), ('2,1,0'), ('0,1,0,1'), ('0,1,0,3')) AS v(key_str)",
+)
+
+
 def save_load_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A spectrum written as parquet and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="specloom-")
-    path = f"{folder}/specloom-spectrum"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:  # executors of a cluster don't share a temporary folder
+        if not spark.sparkContext.master.startswith("local["):
+            raise InvalidConfigError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="specloom-")
+    path = f"{folder}/specloom-spectrum-{uuid.uuid4().hex}"
     write_table(_spectrum(only(2, CONFIG), {}, spark, sf_dir), path)
     return read_table(spark, path).selectExpr("key_str", "i", *rounded("re"))
 

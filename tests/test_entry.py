@@ -32,7 +32,8 @@ def test_flagship(spark):
 
 
 @pytest.mark.parametrize(
-    "name", ["window_assign", "dft_mirror", "s1_auto", "s2_cross", "s3_auto_half", "s4_auto", "s3_relational", "s2_err", "spectrum_union", "s2_bounds", "s4_mask", "s2_arcsinh", "taper_table"]
+    "name", ["window_assign", "dft_mirror", "s1_auto", "s2_cross", "s3_auto_half", "s4_auto", "s3_relational", "s2_err", "spectrum_union", "s2_bounds", "s4_mask", "s2_arcsinh", "taper_table", "chunk_count",
+     "s2_cross_arcsinh", "s2_display", "s3_display", "s4_display", "s4_mask_im", "map_limits_im", "order_fetch", "orders_signed", "cross_key_check", "save_load_roundtrip", "dft_coeffs_full", "s4_relational"]
 )
 def test_query_equals_sql(spark, duck, name):
     assert rows_of(entry.queries()[name](spark, DATA).toPandas()) == rows_of(duck.sql(entry.oracle_sql()[name]).df())
