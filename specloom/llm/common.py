@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -45,24 +45,43 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Shares of a table's rows above which a key is hot: there are fewer hot keys than this, whatever the table.
-HOT_SHARES = 1000
+#: A key with more than this share of a table's rows is hot, so there are fewer hot keys than HOT_SHARES, whatever the table; a key
+#: of at most LEAST_HOT rows never is.
+HOT_SHARES, LEAST_HOT = 10_000, 100
 
 
-def split_hot(big: DataFrame, small: DataFrame, keys: list[str], spread) -> tuple[DataFrame, DataFrame]:
-    """Both tables with a column `salt`, so that a join on `keys` and `salt` deals the rows of a hot key of `big` to many tasks.
+def hot_keys(big: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The hot keys of `big`, with the parts that their rows are to be dealt into; None without one. `big` is counted by key in
+    the tasks first, so a hot key is no burden here."""
+    counts = big.groupBy(*keys).count()
+    total, most = counts.agg(F.sum("count"), F.max("count")).first()
+    least = max(LEAST_HOT, (total or 0) // HOT_SHARES)
+    if (most or 0) <= least:
+        return None
+    return cut(counts.filter(F.col("count") > least).withColumn("hot_parts", F.ceil(F.col("count") / least).cast("int")).drop("count"), "hot")
 
-    A key is hot if it has more than a HOT_SHARES-th of all rows; its rows are parted by the hash `spread`, and its row in
-    `small`, which should have one a key, is repeated for each part. The hot keys are fewer than that, so they are
-    broadcast. All other keys have the salt 0. Null keys join with nothing and stay where a left join leaves them.
-    """
-    counts = cut(big.groupBy(*keys).count(), "counts")
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    least = max(1, total // HOT_SHARES)
-    hot = F.broadcast(counts.filter(F.col("count") > least).withColumn("parts", F.ceil(F.col("count") / least).cast("int")).drop("count"))
-    dealt = big.join(hot, keys, "left").withColumn("salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(spread, F.col("parts"))).cast("int")).drop("parts")
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))
-    return dealt, small.join(hot, keys, "left").withColumn("salt", copies).drop("parts")
+
+def deal(big: DataFrame, hot: DataFrame | None, keys: list[str], spread: Column) -> DataFrame:
+    """`big` with a column `salt`: the part of its hot key that a row is in by the hash `spread`; 0 for all other keys."""
+    if hot is None:
+        return big.withColumn("salt", F.lit(0))
+    part = F.when(F.col("hot_parts").isNull(), 0).otherwise(F.pmod(spread, F.col("hot_parts"))).cast("int")
+    return big.join(F.broadcast(hot), keys, "left").withColumn("salt", part).drop("hot_parts")
+
+
+def repeat(small: DataFrame, hot: DataFrame | None, keys: list[str]) -> DataFrame:
+    """`small` with a column `salt`, a row of a hot key once for each of its parts."""
+    if hot is None:
+        return small.withColumn("salt", F.lit(0))
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("hot_parts"), F.lit(1)) - 1))
+    return small.join(F.broadcast(hot), keys, "left").withColumn("salt", parts).drop("hot_parts")
+
+
+def split_hot(big: DataFrame, small: DataFrame, keys: list[str], spread: Column) -> tuple[DataFrame, DataFrame]:
+    """Both tables with a column `salt`, for a join on `keys` and `salt` that deals the rows of a hot key to many tasks. Null
+    keys join with nothing, and are where a left join leaves them."""
+    hot = hot_keys(big, keys)
+    return deal(big, hot, keys, spread), repeat(small, hot, keys)
 
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"

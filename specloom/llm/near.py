@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specloom.llm.common import cut, doc_text, task
+from specloom.llm.common import cut, doc_text, split_hot, task
 from specloom.llm.components import connected_components
 from specloom.llm.hashing import SPACES, mix, shingle_hashes, token_hashes
 
@@ -33,6 +33,8 @@ COUNTED, RESOLUTION = 1 << 20, 40
 MOST_OWN = (1 << 31) - 1
 #: Values that a task gathers before it hands them on.
 HANDED = 1 << 18
+#: Hashes that a task counts at once, and rows of blocks that one sorts, about.
+RANGE, SORTED = 1 << 21, 1 << 20
 #: A shingle found in so many sets is common; the most common ones, about 8 MB, are told to all tasks.
 COMMON, MOST_COMMON = 6, 1 << 19
 #: Members of a common block that a task gets, about; what lies above it is dealt to several tasks.
@@ -218,18 +220,19 @@ def _lead(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def _groups(blocks: DataFrame) -> DataFrame:
+def _groups(blocks: DataFrame, parts: int) -> DataFrame:
     """(node, order, leader, leader_order, pair, group): the members, but for the leader, of each block that several sets share.
 
-    The parts of a block with many members have a leader each, and those are the members of one more group. group: the
+    The rows are sorted in `parts` partitions. The parts of a block with many members have a leader each, and those are the members of one more group. group: the
     leader of the whole block, so that all pairs of a block are pairs of a group.
     """
-    led = cut(_lead(blocks, "key", "salt").filter("leader <> node OR (head AND salt >= 0)"), "led")
+    led = cut(_lead(blocks.repartition(parts, "key", "salt"), "key", "salt").filter("leader <> node OR (head AND salt >= 0)"), "led")
     heads = cut(_lead(led.filter("head AND salt >= 0").select("key", "order", "node"), "key"), "heads")
     tops = heads.select("key", F.col("leader").alias("top")).distinct()
     members = led.filter("leader <> node")
     plain = members.filter("salt < 0").withColumn("group", F.col("leader"))
-    dealt = members.filter("salt >= 0").join(tops, "key").withColumn("pair", F.lit(False)).withColumn("group", F.col("top"))
+    one, other = split_hot(members.filter("salt >= 0").withColumnRenamed("salt", "part"), tops, ["key"], F.xxhash64("node"))
+    dealt = one.join(other, ["key", "salt"]).withColumn("pair", F.lit(False)).withColumn("group", F.col("top"))
     more = heads.filter("leader <> node").withColumn("pair", F.lit(False)).withColumn("group", F.col("leader"))
     columns = ["node", "order", "leader", "leader_order", "pair", "group"]
     return plain.select(columns).union(dealt.select(columns)).union(more.select(columns))
@@ -279,7 +282,8 @@ def _close(pairs: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(distance)], ["a", "b", "distance"]).filter(kept)
 
     a, b = (brief.toDF(x, f"n{x}", f"s{x}") for x in "ab")
-    sized = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb")
+    one, other = split_hot(pairs, b, ["b"], F.xxhash64("a"))  # one leader may have most members
+    sized = one.join(a, "a").join(other, ["b", "salt"]).select("a", "b", "na", "nb", "sa", "sb")
     return sized.mapInArrow(near, "a long, b long, distance long")
 
 
@@ -322,7 +326,8 @@ def _within(members: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
 
     parts = members.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"))
     parts = parts.filter("x < y").select("group", F.ceil(F.col("members") / PART).cast("int").alias("parts"))
-    rows = members.join(parts, "group").join(brief, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    one, other = split_hot(members, parts, ["group"], F.xxhash64("node"))
+    rows = one.join(other, ["group", "salt"]).drop("salt").join(brief, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     units = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     units = units.select("group", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), *names)
     return units.groupBy("group", "one", "two").applyInArrow(compare, "a long, b long").distinct()
@@ -335,7 +340,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) ->
     a, b = (sets.toDF(x, f"w{x}") for x in "ab")
     common = F.size(F.array_intersect("wa", "wb"))
     either = F.size("wa") + F.size("wb") - common
-    return cut(pairs.join(a, "a").join(b, "b").filter(100 * common >= percent * either).select("a", "b"), "links")
+    one, other = split_hot(pairs, b, ["b"], F.xxhash64("a"))
+    return cut(one.join(a, "a").join(other, ["b", "salt"]).filter(100 * common >= percent * either).select("a", "b"), "links")
 
 
 def jaccard_join(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -350,10 +356,11 @@ def jaccard_join(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     if percent != 75:
         raise ValueError("the size bands and prefixes are those of a similarity of 0.75")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _measured(docs, max(6, parts.bit_length()))
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    rows = _measured(docs, (chars // 6 // RANGE).bit_length())  # a word has about six
     common, counts = _common(rows)
-    groups = _groups(_blocks(doc_text(docs).select("text"), common, counts))
+    shingles = rows.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
+    groups = _groups(_blocks(doc_text(docs).select("text"), common, counts), 8 + shingles // SORTED)
     texts = rows.filter("kind = 0 AND n > 0")
     brief = texts.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     reps = texts.groupBy("node").agg(F.min("doc_id").alias("rep"))
@@ -388,6 +395,8 @@ def jaccard_join(docs: DataFrame, percent: int = 75) -> DataFrame:
     sets = texts.groupBy("node").agg(F.min("doc_id").alias("own")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sets = cut(sets, "components")
     least = sets.groupBy("component").agg(F.min("own").alias("least"))
-    found = sets.join(least, "component").select("node", "least")
-    of = rows.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node").join(found, "node", "left")
+    one, other = split_hot(sets, least, ["component"], F.xxhash64("node"))
+    found = cut(one.join(other, ["component", "salt"]).select("node", "least"), "found")
+    one, other = split_hot(rows.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node"), found, ["node"], F.xxhash64("doc_id"))
+    of = one.join(other, ["node", "salt"], "left")
     return of.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -103,6 +103,7 @@ def test_against_brute_force(spark):
         with pytest.MonkeyPatch.context() as patch:
             patch.setattr(chat, "BROADCAST_CALLS", 0)
             patch.setattr("specloom.llm.common.HOT_SHARES", 5)
+            patch.setattr("specloom.llm.common.LEAST_HOT", 1)
             assert sorted(map(repr, linked(spark, *events))) == sorted(map(repr, rows))
 
 

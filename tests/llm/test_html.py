@@ -152,6 +152,7 @@ def test_many_unimportant_nodes(spark, monkeypatch):
     assert all(r[2].startswith("Story") for r in expected)
     monkeypatch.setattr(operator, "BROADCAST_NODES", 0)
     monkeypatch.setattr("specloom.llm.common.HOT_SHARES", 4)
+    monkeypatch.setattr("specloom.llm.common.LEAST_HOT", 1)
     assert sorted(map(tuple, page_texts(pages).collect()), key=repr) == expected
 
 

@@ -83,6 +83,7 @@ def test_short_items(spark):
         patch.setattr(leaks, "BROADCAST_ANCHORS", 0)
         patch.setattr(leaks, "BROADCAST_ITEMS", 0)
         patch.setattr("specloom.llm.common.HOT_SHARES", 5)
+        patch.setattr("specloom.llm.common.LEAST_HOT", 1)
         assert sorted(map(tuple, benchmark_leaks(*rows).collect())) == found
 
 

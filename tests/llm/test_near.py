@@ -61,6 +61,10 @@ def test_groups_around_the_limit(spark, monkeypatch):
     monkeypatch.setattr(N, "SALTED", 8)
     monkeypatch.setattr(N, "PART", 4)
     monkeypatch.setattr(N, "BROADCAST_NODES", 3)
+    monkeypatch.setattr(N, "SORTED", 64)
+    monkeypatch.setattr(N, "RANGE", 64)
+    monkeypatch.setattr("specloom.llm.common.HOT_SHARES", 20)
+    monkeypatch.setattr("specloom.llm.common.LEAST_HOT", 2)
     texts, passage = [], prose(99, 60)
     for g in range(4):
         base = prose(g, 60 + 60 * g)
