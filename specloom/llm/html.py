@@ -403,7 +403,8 @@ def unimportant_names(features: DataFrame, min_importance: float, prior_pages: i
     m, n = F.col("pages"), F.col("n")
     own = 1 - F.log(n.cast("double")) / F.log(m.cast("double"))
     drawn = (m * (PRESENTATION * F.col("shape") + (1 - PRESENTATION) * own) + prior_pages) / (m + prior_pages)
-    often = features.filter("kind > 0 AND n > 1").join(told.select("host", "node", "pages", "shape"), ["host", "node"])
+    one, other = split_hot(features.filter("kind > 0 AND n > 1"), told.select("host", "node", "pages", "shape"), ["host", "node"], F.col("drop"))
+    often = one.join(other, ["host", "node", "salt"])
     repeated = often.filter(((F.col("kind") == 2) & (drawn < min_importance)) | ((F.col("kind") == 1) & (2 * n > m + prior_pages)))
     return nodes.union(repeated.select("host", F.col("drop").alias("name")))
 
