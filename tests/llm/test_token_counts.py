@@ -34,6 +34,34 @@ def test_chunks_compose(text, size):
 
 
 def test_transitions_add_up():
-    machine = T.counter(PATH).transducer
-    for word in (b"unbelievable", b" the", b"zzzzzzzz", "naïveté".encode(), bytes(range(1, 60))):
-        assert machine.count(word) == len(machine.merged(word))
+    machine = T.counter(PATH).machine.words
+    for word in ("unbelievable", " the", "zzzzzzzz", "naïveté", bytes(range(1, 60)).decode()):
+        assert machine.read(machine.START, word)[1] == len(machine.merged(word.encode()))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=40), st.text(alphabet="'rvelstmd ' aB1\x1c\x1f\x85\u180e\u200b\n", max_size=40))
+def test_any_text(one, other):
+    for text in (one, other, one + other):
+        assert T.counter(PATH)(text) == library(text)
+
+
+def test_memory_is_emptied(monkeypatch):
+    counter = T.TokenCounter(PATH)
+    monkeypatch.setattr(T, "MEMO_TRANSITIONS", 50)
+    monkeypatch.setattr(T, "MEMO_PAIRS", 20)
+    monkeypatch.setattr(T, "CHUNK", 64)
+    text = "The quick brown fox's  jumps\n\n over 12345 lazy dogs, isn't it? " * 40
+    assert counter(text) == library(text) and counter.machine.n_cells <= 50 and len(counter.machine.words.follows) <= 20
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    import pytest
+
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    for change in (dict(pre_tokenizer={"type": "Whitespace"}), dict(normalizer={"type": "Lowercase"}), dict(model=spec["model"] | {"dropout": 0.1})):
+        (tmp_path / "v.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            T.TokenCounter(str(tmp_path / "v.json"))
