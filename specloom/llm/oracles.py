@@ -6,6 +6,8 @@ from specloom.llm import rules
 
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
+_RUN = r"[^\x{0}-\x60\x7B-\x7F]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def divergence_rules_sql() -> str:
@@ -15,35 +17,35 @@ def divergence_rules_sql() -> str:
     listed = ", ".join(classes.values())
     return f"""
         WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
-        w AS (SELECT *, regexp_extract_all(text, '{_WORD}') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d),
+        w AS (SELECT *, regexp_extract_all(text, '{_WORD}') AS ws, regexp_extract_all({_LOWER.format('text')}, '{_RUN}') AS runs, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d),
         runs AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w) u),
         again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS n FROM runs),
         repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) AS v(k) WHERE n > 1 GROUP BY doc_id),
         lists AS (SELECT * FROM (VALUES {languages}) AS v(lang, listed)),
         counted AS (
-            SELECT w.*, [{listed}] AS classes, list_transform(listed, lambda y: len(list_filter(ws, lambda x: x = y))) AS common
+            SELECT w.*, [{listed}] AS classes, list_transform(listed, lambda y: len(list_filter(runs, lambda x: x = y))) AS common
             FROM w LEFT JOIN lists ON w.lang = lists.lang),
         whole AS (
             SELECT doc_id, lang, 'c' AS kind, list_append(classes, length(text) - list_sum(classes)) AS ns FROM counted WHERE common IS NOT NULL
-            UNION ALL SELECT doc_id, lang, 'w' AS kind, list_append(common, len(ws) - list_sum(common)) AS ns FROM counted WHERE common IS NOT NULL),
+            UNION ALL SELECT doc_id, lang, 'w' AS kind, list_append(common, len(runs) - list_sum(common)) AS ns FROM counted WHERE common IS NOT NULL),
         bins AS (SELECT doc_id, lang, kind, unnest(ns) AS n, unnest(range(len(ns))) AS bin FROM whole),
         shares AS (
             SELECT doc_id, kind, n / sum(n) OVER (PARTITION BY doc_id, kind) AS x, sum(n) OVER (PARTITION BY doc_id, kind) AS total,
                 sum(n) OVER (PARTITION BY lang, kind, bin) / sum(n) OVER (PARTITION BY lang, kind) AS y FROM bins),
         told AS (
-            SELECT doc_id, kind, round(greatest(0e0, sum(CASE WHEN x > 0 THEN x * log2(2 * x / (x + y)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(2 * y / (x + y)) ELSE 0 END) / 2), 6) AS v
+            SELECT doc_id, kind, round(sqrt(round(greatest(0e0, sum(CASE WHEN x > 0 THEN x * log2(2 * x / (x + y)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(2 * y / (x + y)) ELSE 0 END) / 2), 12)), 6) AS v
             FROM shares WHERE total > 0 GROUP BY doc_id, kind),
         base AS (
             SELECT c.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{_SPACE}+', '', 'g')) AS BIGINT) AS word_chars,
                 CAST({found(rules.CLASSES['symbol'])} AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
-                CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, length(text) AS n_chars, a.v AS char_divergence, b.v AS word_divergence
+                CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, length(text) AS n_chars, a.v AS char_distance, b.v AS word_distance
             FROM counted c LEFT JOIN repeated r ON c.doc_id = r.doc_id
             LEFT JOIN told a ON c.doc_id = a.doc_id AND a.kind = 'c' LEFT JOIN told b ON c.doc_id = b.doc_id AND b.kind = 'w'),
         failed AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT} * n_words AS base_failed FROM base)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-            NOT base_failed AND NOT coalesce(n_chars >= {rules.LEAST_CHARS} AND char_divergence > {rules.MAX_CHARS}, false)
-                AND NOT coalesce(n_words >= {rules.LEAST_WORDS} AND word_divergence > {rules.MAX_WORDS} + {rules.WORDS_SLACK} / greatest(n_words, 1), false) AS kept,
-            char_divergence, word_divergence FROM failed"""
+            NOT base_failed AND NOT coalesce(n_chars >= {rules.LEAST_CHARS} AND char_distance > {rules.MAX_CHARS}, false)
+                AND NOT coalesce(n_words >= {rules.LEAST_WORDS} AND word_distance * word_distance > {rules.MAX_WORDS**2!r} + {rules.WORDS_SLACK} / greatest(n_words, 1), false) AS kept,
+            char_distance, word_distance FROM failed"""
 
 
 JACCARD_JOIN_SQL = rf"""

@@ -1,13 +1,14 @@
 """Quality rules by distribution divergence, in DataFrame expressions alone.
 
 A document's histograms of character classes and of its language's commonest words are compared with those of its language
-over the whole corpus by the Jensen-Shannon divergence (in bits, 0 to 1). Texts too short for a histogram to mean anything,
+over the whole corpus by the Jensen-Shannon distance (the root of the divergence in bits, 0 to 1). Texts too short for a histogram to mean anything,
 and languages without a word list, aren't judged by it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,18 +17,18 @@ from specloom.llm.common import cut
 
 # Very common words of each language.
 COMMON_WORDS = {
-    "de": ["der", "die", "und", "das", "in", "zu", "den", "mit", "von", "ist"],
-    "en": ["the", "of", "and", "to", "in", "is", "that", "for", "it", "as"],
-    "es": ["de", "la", "que", "el", "en", "y", "los", "se", "del", "las"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "que"],
+    "de": "der die und das in zu den mit von ist des sich auf für im dem nicht ein eine als auch es an werden aus er hat dass sie nach".split(),
+    "en": "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which you".split(),
+    "es": "de la que el en y los se del las un por con no una su para es al lo como más o pero sus le ha me si sin".split(),
+    "fr": "de la le et les des en un une que est pour qui dans a par plus pas au sur ne se ce il sont avec son du ou mais".split(),
 }
 # The character classes that are counted; all other characters are one class more.
 CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "symbol": "[#*$%&|<>]", "mark": "[!-\"'-),-/:;=?@\\[-`{}~]", "space": "[ \t-\r]", "wide": "[^\\x00-\\x7f]"}
 MIN_WORDS, MAX_REPEAT = 50, 50
-#: The divergence of characters above which a text is rejected, and the least characters that it is told from.
-MAX_CHARS, LEAST_CHARS = 0.08, 200
-#: The same of words; a few words diverge by chance, so the limit is MAX_WORDS + WORDS_SLACK / words.
-MAX_WORDS, WORDS_SLACK, LEAST_WORDS = 0.04, 3.0, 50
+#: The distance of characters above which a text is rejected, and the least characters that it is told from.
+MAX_CHARS, LEAST_CHARS = 0.28, 200
+#: The same of words; a few words differ by chance, so the square of the distance may be WORDS_SLACK / words more.
+MAX_WORDS, WORDS_SLACK, LEAST_WORDS = 0.2, 8.0, 50
 #: Distinct repeated windows of a text up to which their places are looked up one by one.
 FEW = 32
 
@@ -77,33 +78,37 @@ def common_counts(words: Column, lang: Column) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts, a count for each class of characters, and common: those of the common words."""
+    """doc_id, lang, the base counts, a count for each class of characters, n_runs: the runs of letters (a-z once A-Z are lower-cased, and
+    all beyond ASCII), and common: how many of these are each common word."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \t-\r]"))
     of_words = lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"), n_repeat_words(w).alias("n_repeat_words"), common_counts(w, F.col("lang")).alias("common")
+        F.size(w).cast("long").alias("n_words"), n_repeat_words(w).alias("n_repeat_words")
     )
+    letters = F.array_remove(F.split(F.translate(text, ascii_uppercase, ascii_lowercase), "[\\x00-\\x60\\x7b-\\x7f]+"), "")
+    of_letters = lambda w: F.struct(F.size(w).cast("long").alias("n"), common_counts(w, F.col("lang")).alias("common"))
     counts = docs.select(
         "doc_id",
         "lang",
         let(F.array_remove(F.split(text, "[ \t-\r]+"), ""), of_words).alias("words"),
+        let(letters, of_letters).alias("letters"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         F.length(text).cast("long").alias("n_chars"),
         *(count_matches(text, pattern).alias(name) for name, pattern in CLASSES.items()),
     )
     return counts.select(
         "doc_id", "lang", F.col("words.n_words"), (F.col("n_chars") - F.col("space")).alias("word_chars"),
-        F.col("symbol").alias("n_symbols"), "n_dup_lines", F.col("words.n_repeat_words"), "n_chars", *CLASSES, F.col("words.common"),
+        F.col("symbol").alias("n_symbols"), "n_dup_lines", F.col("words.n_repeat_words"), "n_chars", *CLASSES, F.col("letters.n").alias("n_runs"), F.col("letters.common"),
     )
 
 
-def divergence(p: Column, q: Column) -> Column:
-    """The Jensen-Shannon divergence in bits, to six places, of two arrays of counts; null if one is null or has none."""
+def distance(p: Column, q: Column) -> Column:
+    """The Jensen-Shannon distance, to six places, of two arrays of counts; null if one is null or has none."""
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
     share = lambda a, n: F.transform(a, lambda x: x / n)
     part = lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0) + F.when(y > 0, y * F.log2(2 * y / (x + y))).otherwise(0.0)
     added = lambda n, m: F.aggregate(F.zip_with(share(p, n), share(q, m), part), F.lit(0.0), lambda x, y: x + y)
-    of = lambda n, m: F.when((n > 0) & (m > 0), F.round(F.greatest(F.lit(0.0), added(n, m) / 2), 6))
+    of = lambda n, m: F.when((n > 0) & (m > 0), F.round(F.sqrt(F.round(F.greatest(F.lit(0.0), added(n, m) / 2), 12)), 6))
     return let(total(p), lambda n: let(total(q), lambda m: of(n, m)))
 
 
@@ -112,27 +117,28 @@ def divergence_rules(docs: DataFrame) -> DataFrame:
 
     Words are runs of anything but ASCII white space. Returns a row for each row: doc_id, n_words, word_chars (code points
     in words), n_symbols, n_dup_lines (lines with a word that equal an earlier line), n_repeat_words, base_failed (under
-    MIN_WORDS words, or more than MAX_REPEAT percent of them repeated), kept, char_divergence and word_divergence. A text is
-    kept unless base_failed or, where it is long enough, a divergence is above its limit. The references are sums over
+    MIN_WORDS words, or more than MAX_REPEAT percent of them repeated), kept, char_distance and word_distance. A text is
+    kept unless base_failed or, where it is long enough, a distance is above its limit. The words of the histogram are runs
+    of letters, so case and marks don't count. The references are sums over
     all rows of a language, so they are as many as the word lists. A null text has no words; texts of a null or unlisted
-    language have null divergences and aren't rejected by them; repeated rows stay repeated and count each; a null doc_id
+    language have null distances and aren't rejected by them; repeated rows stay repeated and count each; a null doc_id
     stays null; an empty table gives none; other columns don't matter.
     """
     rows = cut(measures(docs), "measures")
     plain = F.col("n_chars") - sum((F.col(c) for c in list(CLASSES)[1:]), F.col(next(iter(CLASSES))))
-    others = F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda x, y: x + y)
+    others = F.col("n_runs") - F.aggregate("common", F.lit(0).cast("long"), lambda x, y: x + y)
     rows = rows.withColumns({"chars": F.array(*CLASSES, plain), "common": F.concat("common", F.array(others))})
     lengths = {"chars": len(CLASSES) + 1, "common": len(COMMON_WORDS["en"]) + 1}
     sums = {name: F.array(*(F.sum(F.get(name, F.lit(k))) for k in range(n))) for name, n in lengths.items()}
     known = rows.filter(F.col("lang").isin(list(COMMON_WORDS)))
     references = known.groupBy("lang").agg(*(x.alias(f"all_{name}") for name, x in sums.items()))
     judged = rows.join(F.broadcast(references), "lang", "left").withColumns(
-        {"char_divergence": divergence(F.col("chars"), F.col("all_chars")), "word_divergence": divergence(F.col("common"), F.col("all_common"))}
+        {"char_distance": distance(F.col("chars"), F.col("all_chars")), "word_distance": distance(F.col("common"), F.col("all_common"))}
     )
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    chars, words = F.col("char_divergence"), F.col("word_divergence")
-    odd = ((F.col("n_chars") >= LEAST_CHARS) & (chars > MAX_CHARS)) | ((F.col("n_words") >= LEAST_WORDS) & (words > MAX_WORDS + WORDS_SLACK / F.greatest("n_words", F.lit(1))))
+    chars, words = F.col("char_distance"), F.col("word_distance")
+    odd = ((F.col("n_chars") >= LEAST_CHARS) & (chars > MAX_CHARS)) | ((F.col("n_words") >= LEAST_WORDS) & (words * words > MAX_WORDS**2 + WORDS_SLACK / F.greatest("n_words", F.lit(1))))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"),
-        (~base_failed & ~F.coalesce(odd, F.lit(False))).alias("kept"), "char_divergence", "word_divergence",
+        (~base_failed & ~F.coalesce(odd, F.lit(False))).alias("kept"), "char_distance", "word_distance",
     )

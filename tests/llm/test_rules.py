@@ -18,20 +18,20 @@ def base(text):
 
 def histograms(text, lang):
     text = text or ""
-    words = WORD.findall(text)
+    words = re.findall(r"[a-z\x80-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
     chars = [len(re.findall(p, text)) for p in R.CLASSES.values()]
     common = [words.count(w) for w in R.COMMON_WORDS[lang]]
     return [*chars, len(text) - sum(chars)], [*common, len(words) - sum(common)]
 
 
-def divergence(p, q):
+def distance(p, q):
     n, m = sum(p), sum(q)
     if not n or not m:
         return None
     kl = lambda a, b: sum(x * math.log2(x / y) for x, y in zip(a, b) if x)
     p, q = [x / n for x in p], [x / m for x in q]
     middle = [(x + y) / 2 for x, y in zip(p, q)]
-    return (kl(p, middle) + kl(q, middle)) / 2
+    return math.sqrt(max(0.0, round((kl(p, middle) + kl(q, middle)) / 2, 12)))
 
 
 def check(docs):
@@ -41,15 +41,15 @@ def check(docs):
         if lang in R.COMMON_WORDS:
             own = histograms(text, lang)
             sums[lang] = [[a + b for a, b in zip(x, y)] for x, y in zip(own, sums[lang])] if lang in sums else own
-    got = sorted(R.divergence_rules(docs).collect(), key=lambda r: (str(r["doc_id"]), r["word_chars"], str(r["char_divergence"])))
+    got = sorted(R.divergence_rules(docs).collect(), key=lambda r: (str(r["doc_id"]), r["word_chars"], str(r["char_distance"])))
     expected = []
     for d, text, lang in rows:
         counts, told = base(text), [None, None]
         if lang in R.COMMON_WORDS:
-            told = [divergence(a, b) for a, b in zip(histograms(text, lang), sums[lang])]
+            told = [distance(a, b) for a, b in zip(histograms(text, lang), sums[lang])]
         failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
         odd = told[0] is not None and len(text) >= R.LEAST_CHARS and told[0] > R.MAX_CHARS
-        odd |= told[1] is not None and counts[0] >= R.LEAST_WORDS and told[1] > R.MAX_WORDS + R.WORDS_SLACK / counts[0]
+        odd |= told[1] is not None and counts[0] >= R.LEAST_WORDS and told[1] ** 2 > R.MAX_WORDS**2 + R.WORDS_SLACK / counts[0]
         expected.append((d, *counts, failed, not failed and not odd, *told))
     assert len(got) == len(expected)
     for r, e in zip(got, sorted(expected, key=lambda e: (str(e[0]), e[2], str(None if e[8] is None else round(e[8], 6))))):
@@ -71,3 +71,11 @@ def test_many_repeats(spark, monkeypatch):
     check(docs)
     monkeypatch.setattr(R, "FEW", 0)  # all by sorting
     check(docs)
+
+
+def test_case_and_marks_dont_count(spark):
+    """Of two texts that differ in case and marks, the distances of words are one."""
+    plain = " ".join("the river of stone and cloud is in the glass".split() * 8)
+    docs = spark.createDataFrame([(1, plain, "en"), (2, plain.title().replace(" ", ", "), "en"), (3, "zq " * 80, "en")], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in R.divergence_rules(docs).collect()}
+    assert found[1]["word_distance"] == found[2]["word_distance"] < found[3]["word_distance"] <= 1
