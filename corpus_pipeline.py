@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from specloom.llm.packing import harmonic_pack
 from specloom.llm.quality import importance_resampling
 from specloom.llm.toxicity import toxicity_scores, train
 
-#: SQL has no n-gram models, classifier or tokenizer; the pipeline is tested against a brute-force version.
+#: SQL has no n-gram models, classifier or tokenizer; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 #: Ids up to which those that go are broadcast, about 30 MB; more are joined by a shuffle.
@@ -21,33 +23,48 @@ BROADCAST_IDS = 1_000_000
 
 
 def _without(docs: DataFrame, out: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id isn't in `out`; a null doc_id is like any other. The texts aren't shuffled for few ids."""
+    """The rows of `docs` whose doc_id isn't in `out`. The texts aren't shuffled for few ids."""
     out = cut(out.select(F.col("doc_id").alias("out_id")).distinct(), "out")
     out = F.broadcast(out) if out.count() <= BROADCAST_IDS else out
-    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("out_id")), "left_anti")
+    return docs.join(out, F.col("doc_id") == F.col("out_id"), "left_anti")
+
+
+def _judged(docs: DataFrame, labels: DataFrame | None, gone: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
+    """The rows of `docs` that stay: those whose doc_id isn't in `gone`(docs, labels).
+
+    Decisions are a row's own. Where ids are null or repeat, rows are told apart by numbers that are written with them, and
+    labels go by these.
+    """
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        return _without(docs, gone(docs, labels))
+    number, named = "row_number_of_stage", "doc_id_of_stage"
+    rows = cut(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumnRenamed("doc_id", named).withColumnRenamed(number, "doc_id")
+    if labels is not None:
+        own = rows.select(F.col("doc_id").alias(number), F.col(named).alias("doc_id"))
+        labels = labels.join(own, "doc_id").drop("doc_id").withColumnRenamed(number, "doc_id")
+    left = _without(rows, gone(rows, labels))
+    return left.drop("doc_id").withColumnRenamed(named, "doc_id").select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that importance resampling keeps."""
-    judged = importance_resampling(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, judged.filter("NOT kept"))
+    return _judged(docs, table(spark, sf_dir, "labels"), lambda d, labels: importance_resampling(d, labels).filter("NOT kept"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that aren't told to be toxic; the classifier learns from the labelled rows among `docs`."""
-    scored = toxicity_scores(docs, train(docs, table(spark, sf_dir, "labels")))
-    return _without(docs, scored.filter("predicted = 1"))
+    return _judged(docs, table(spark, sf_dir, "labels"), lambda d, labels: toxicity_scores(d, train(d, labels)).filter("predicted = 1"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the row with the least doc_id, and all that are no copies."""
-    linked = jaccard_join(docs)
-    return _without(docs, linked.filter("doc_id <> component_id"))
+    return _judged(docs, None, lambda d, _: jaccard_join(d).filter("doc_id <> component_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that contain no benchmark item."""
-    return _without(docs, benchmark_leaks(docs, table(spark, sf_dir, "benchmark")))
+    return _judged(docs, None, lambda d, _: benchmark_leaks(d, table(spark, sf_dir, "benchmark")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,11 +25,13 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session; where that is unset, as in tests, a new
-    folder of this process."""
+    """The folder that all executors share: spark.checkpoint.dir of the session; where that is unset and there is one machine, as
+    in tests, a new folder of this process. A cluster without the setting is an error, for its executors share no other."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="specloom-checkpoint-"))
     return _own_dir[0]

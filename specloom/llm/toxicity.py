@@ -64,6 +64,12 @@ class NaiveBayesLinear:
         return wanted
 
 
+def log_count_ratios(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The naive Bayes log-count ratio of each feature, of its counts in texts of label 1 and 0."""
+    p, q = p + SMOOTHING, q + SMOOTHING
+    return np.log(p / p.sum()) - np.log(q / q.sum())
+
+
 def fit(texts: list[str], labels: list[int]) -> NaiveBayesLinear:
     """Fit on labelled texts. Without rows of both labels the score is the share of label 1 (one half without rows)."""
     y = np.array(labels, float)
@@ -81,8 +87,7 @@ def fit(texts: list[str], labels: list[int]) -> NaiveBayesLinear:
         chi2 = np.nan_to_num(n * (p * (n - n_pos - q) - q * (n_pos - p)) ** 2 / (n_pos * (n - n_pos) * both * (n - both)))
     best = np.argsort(-chi2, kind="stable")[:MOST_FEATURES]
     kept = np.sort(best[: max(LEAST_FEATURES, int((chi2[best] >= MIN_CHI2).sum()))]).astype(np.uint32)
-    p, q = p[kept] + SMOOTHING, q[kept] + SMOOTHING
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    ratio = log_count_ratios(p[kept], q[kept])
 
     wanted = np.zeros(size, bool)
     wanted[kept] = True

@@ -47,3 +47,17 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert len({(r["gumbel_key"], r["kept"]) for r in rows if r["doc_id"] == 2}) == 1
     assert all(r["kept"] for r in importance_resampling(odd_docs, labels.limit(0)).collect())
     assert importance_resampling(no_docs, labels).count() == 0
+
+
+def test_draw_follows_the_weights(spark):
+    """Over many rows of three weights the shares that the noise draws are those of a draw in proportion to them."""
+    from pyspark.sql import functions as F
+
+    from specloom.llm.quality import gumbel
+
+    weights = [1.0, 2.0, 5.0]
+    rows = spark.range(60_000).select("id", *(F.col("id").alias(f"i{k}") for k in range(3)))
+    keys = rows.select(*((F.lit(math.log(w)) + gumbel(f"i{k}", 10 + k)).alias(f"k{k}") for k, w in enumerate(weights)))
+    best = keys.select(*((F.col(f"k{k}") == F.greatest("k0", "k1", "k2")).cast("int").alias(f"b{k}") for k in range(3)))
+    shares = best.agg(*(F.avg(f"b{k}") for k in range(3))).first()
+    assert all(abs(s - w / 8) < 0.01 for s, w in zip(shares, weights))
