@@ -90,12 +90,12 @@ BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python 8 MB at a time: a batch is held several times over, in the JVM and in Python, by each task.
+    """Hand texts to Python 2 MB at a time: a batch is held several times over, in the JVM and in Python, by each task.
 
     A session that has set the size itself keeps it.
     """
     if spark.conf.get(BATCH) in ("67108864b", "64m", "64MB", "67108864"):
-        spark.conf.set(BATCH, "8m")
+        spark.conf.set(BATCH, "2m")
 
 
 _owner = ""

@@ -58,14 +58,27 @@ def weight_of(shingles: Column) -> Column:
 
 
 def simhash(shingles: Column) -> Column:
-    """Bit b is set where the weights of the shingles with that bit outweigh the others."""
-    vote = lambda b: F.aggregate(
-        shingles,
-        F.lit(0).cast("long"),
-        lambda acc, x: acc + F.when(F.call_function("getbit", x["hash"], b) == 1, x["weight"]).otherwise(-x["weight"]),
+    """Bit b is set where the shingles with that bit have more than half of all weight.
+
+    The weights of four bits are added up at once, in the four lanes of a 64-bit number; sets whose weight doesn't fit into a
+    lane have a sum for each bit.
+    """
+    zero, total = F.lit(0).cast("long"), weight_of(shingles)
+    spread = F.array(*(F.lit(sum(1 << 16 * j for j in range(4) if k >> j & 1)).cast("long") for k in range(16)))
+    nibble = lambda x, n: F.call_function("shiftright", x["hash"], (4 * n).cast("int")).bitwiseAND(15).cast("int")
+    lanes = F.transform(
+        F.sequence(F.lit(0), F.lit(15)),
+        lambda n: F.aggregate(shingles, zero, lambda acc, x: acc + F.get(spread, nibble(x, n)) * x["weight"]),
     )
-    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: vote(b) > 0)
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
+    in_lanes = lambda of, b: F.call_function("shiftright", F.get(of, F.floor(b / 4).cast("int")), (b % 4 * 16).cast("int")).bitwiseAND(0xFFFF)
+    one_by_one = lambda b: F.aggregate(shingles, zero, lambda acc, x: acc + F.call_function("getbit", x["hash"], b) * x["weight"])
+
+    def print_of(votes) -> Column:
+        bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: 2 * votes(b) > total)
+        return F.aggregate(bits, zero, lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
+
+    few = F.get(F.transform(F.array(lanes), lambda of: print_of(lambda b: in_lanes(of, b))), F.lit(0))
+    return F.when(total < 1 << 15, few).otherwise(print_of(one_by_one))
 
 
 def block_of(fingerprint: Column, block: Column) -> Column:

@@ -126,3 +126,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert benchmark_leaks(no_docs, items).count() == 0 and benchmark_leaks(odd_docs, items.limit(0)).count() == 0
     with pytest.raises(ValueError):
         benchmark_leaks(odd_docs, items, percent=50)
+
+
+def test_simhash_by_definition(spark):
+    """Both ways of adding weights give the bits of the definition, for signed hashes and for very long words."""
+    texts = [prose(k, 5 + 3 * k) for k in range(20)] + ["one two", "", "x" * 9000 + " b c d e f " + "y" * 7000, "a b c d e f " * 3]
+    rows = spark.createDataFrame([(t.split(),) for t in texts], "w array<string>").select(leaks.shingles_of(F.col("w")).alias("s"))
+    for r in rows.select("s", leaks.simhash(F.col("s")).alias("p")).collect():
+        total = sum(x["weight"] for x in r["s"])
+        bits = sum(1 << b for b in range(64) if 2 * sum(x["weight"] for x in r["s"] if x["hash"] >> b & 1) > total)
+        assert r["p"] & (1 << 64) - 1 == bits
