@@ -82,12 +82,15 @@ def fit(texts: list[str], labels: list[int]) -> NaiveBayesLinear:
     p, q = np.zeros(size), np.zeros(size)
     for text, label in zip(texts, y, strict=True):
         (p if label else q)[present(text)] += 1
+    seen = np.flatnonzero(p + q)  # a fraction of all, and what follows makes several arrays of them
+    p, q = p[seen], q[seen]
     with np.errstate(divide="ignore", invalid="ignore"):
         both = p + q
         chi2 = np.nan_to_num(n * (p * (n - n_pos - q) - q * (n_pos - p)) ** 2 / (n_pos * (n - n_pos) * both * (n - both)))
     best = np.argsort(-chi2, kind="stable")[:MOST_FEATURES]
-    kept = np.sort(best[: max(LEAST_FEATURES, int((chi2[best] >= MIN_CHI2).sum()))]).astype(np.uint32)
-    ratio = log_count_ratios(p[kept], q[kept])
+    best = np.sort(best[: max(LEAST_FEATURES, int((chi2[best] >= MIN_CHI2).sum()))])
+    kept, p, q = seen[best].astype(np.uint32), p[best], q[best]
+    ratio = log_count_ratios(p, q)
 
     wanted = np.zeros(size, bool)
     wanted[kept] = True
