@@ -70,6 +70,13 @@ def log_count_ratios(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
+def chi_squares(p: np.ndarray, q: np.ndarray, n_pos: float, n: float) -> np.ndarray:
+    """The chi-square of each feature against the label, of its counts in texts of label 1 and 0; 0 for a feature of no or all texts."""
+    both = p + q
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.nan_to_num(n * (p * (n - n_pos - q) - q * (n_pos - p)) ** 2 / (n_pos * (n - n_pos) * both * (n - both)))
+
+
 def fit(texts: list[str], labels: list[int]) -> NaiveBayesLinear:
     """Fit on labelled texts. Without rows of both labels the score is the share of label 1 (one half without rows)."""
     y = np.array(labels, float)
@@ -79,17 +86,20 @@ def fit(texts: list[str], labels: list[int]) -> NaiveBayesLinear:
         return NaiveBayesLinear(np.empty(0, np.uint32), np.empty(0), float(np.log(share / (1 - share))))
     present = lambda text: np.unique(np.concatenate([*ngrams(text), np.empty(0, np.uint32)]))
     size = 1 << BITS
-    p, q = np.zeros(size), np.zeros(size)
+    p, q = np.zeros(size, np.int32), np.zeros(size, np.int32)
     for text, label in zip(texts, y, strict=True):
         (p if label else q)[present(text)] += 1
-    seen = np.flatnonzero(p + q)  # a fraction of all, and what follows makes several arrays of them
-    p, q = p[seen], q[seen]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        both = p + q
-        chi2 = np.nan_to_num(n * (p * (n - n_pos - q) - q * (n_pos - p)) ** 2 / (n_pos * (n - n_pos) * both * (n - both)))
-    best = np.argsort(-chi2, kind="stable")[:MOST_FEATURES]
-    best = np.sort(best[: max(LEAST_FEATURES, int((chi2[best] >= MIN_CHI2).sum()))])
-    kept, p, q = seen[best].astype(np.uint32), p[best], q[best]
+    chi2 = np.empty(size)
+    for at in range(0, size, 1 << 16):  # a part at a time, for each makes several arrays
+        part = slice(at, at + (1 << 16))
+        chi2[part] = chi_squares(p[part].astype(float), q[part].astype(float), n_pos, n)
+    found = np.flatnonzero(chi2 >= MIN_CHI2)
+    if len(found) < LEAST_FEATURES:
+        found = np.flatnonzero((p > 0) | (q > 0))
+    strong = max(LEAST_FEATURES, int((chi2[found] >= MIN_CHI2).sum()))
+    kept = np.sort(found[np.argsort(-chi2[found], kind="stable")][: min(strong, MOST_FEATURES)]).astype(np.uint32)
+    p, q = p[kept].astype(float), q[kept].astype(float)
+    del chi2, found
     ratio = log_count_ratios(p, q)
 
     wanted = np.zeros(size, bool)
@@ -97,13 +107,13 @@ def fit(texts: list[str], labels: list[int]) -> NaiveBayesLinear:
     # Features are hashed twice, so that those of all texts needn't be held at once.
     rows = [np.searchsorted(kept, row[wanted[row]]) for row in map(present, texts)]
     columns, of = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
-    x = ratio[columns]
+    del rows
     w, b = np.zeros(len(kept)), float(np.log(n_pos / (n - n_pos)))
     m1, m2 = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for step in range(1, STEPS + 1):  # Adam on the whole sample
-        z = b + np.bincount(of, weights=x * w[columns], minlength=n)
+        z = b + np.bincount(of, weights=(ratio * w)[columns], minlength=n)
         error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * np.where(y > 0, POSITIVE_WEIGHT, 1)
-        grad = np.append(np.bincount(columns, weights=x * error[of], minlength=len(kept)) / n + PENALTY * w, error.mean())
+        grad = np.append(ratio * np.bincount(columns, weights=error[of], minlength=len(kept)) / n + PENALTY * w, error.mean())
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         move = 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-9)
         w, b = w - move[:-1], b - float(move[-1])
